@@ -8,7 +8,7 @@ import tempfile
 import types
 import uuid
 
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +26,21 @@ def process_cache() -> dict:
     return sys.modules.setdefault("_quillon_cache", types.SimpleNamespace(kept={})).kept
 
 
+def share(spark: SparkSession, thing: object) -> Broadcast:
+    """Broadcast an object of this package's classes, which executors need not have."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+
+def shared(held: Broadcast) -> object:
+    """The object of a broadcast made by share, built once in a worker."""
+    cache, raw = process_cache(), held.value
+    if ("shared", raw) not in cache:
+        for key in [k for k in cache if k[0] == "shared"]:
+            del cache[key]
+        cache["shared", raw] = cloudpickle.loads(raw)
+    return cache["shared", raw]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
@@ -74,7 +89,7 @@ def lower_ascii(col):
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
-    """Equi-join on one key whose sides are always dealt out anew, so that adaptive execution can split a hot key.
+    """Equi-join on one key (null matches nothing) whose sides are always dealt out anew, so that adaptive execution can split a hot key.
 
     An aggregate on the same key would otherwise lend its partitioning to the join, and then no part can be split.
     The extra key is a function of the first and changes no result.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, quality, sharding, url_filter
+from . import bpe, chat, decontam, langid, licenses, line_dedup, minhash, quality, sharding, url_filter
 from .sql import ORACLE
 
 
@@ -20,6 +20,13 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict", "pattern")
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each place: doc_id, license, n_words, n_matched, start, end."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scan_licenses(docs).select("doc_id", F.explode("licenses").alias("x"))
+    return found.select("doc_id", "x.license", "x.n_words", "x.n_matched", F.col("x.start").alias("start_char"), F.col("x.end").alias("end_char"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.apply_quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -49,13 +56,41 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("conv_id", F.size("t").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, k=3, percent=85)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs)
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and item it contains: doc_id, item_id, n_shingles, n_shared."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.find_benchmark(docs, _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("items").alias("x")).select("doc_id", "x.item_id", "x.n_shingles", "x.n_shared")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
+        "op2_license_scans": op2_license_scans,
         "op3_quality_rules": op3_quality_rules,
         "op4_sharding": op4_sharding,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_chat_formatting": op6_chat_formatting,
+        "op7_line_dedup": op7_line_dedup,
+        "op8_minhash_dedup": op8_minhash_dedup,
+        "op9_language_id": op9_language_id,
+        "op10_benchmark_decontamination": op10_benchmark_decontamination,
     }
 
 

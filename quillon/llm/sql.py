@@ -97,4 +97,52 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-ORACLE = {"op1_url_filters": OP1, "op3_quality_rules": OP3, "op4_sharding": op4, "op6_chat_formatting": OP6}
+OP7 = """
+WITH l AS (
+  SELECT doc_id, text, i, string_split(text, chr(10))[i + 1] AS line, trim(string_split(text, chr(10))[i + 1], chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS t
+  FROM (SELECT doc_id, text, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL)),
+full_lines AS (SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l WHERE t <> ''),
+three AS (SELECT doc_id, p, t, lead(t) OVER w AS t2, lead(t, 2) OVER w AS t3 FROM full_lines WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY t, t2, t3 ORDER BY doc_id, p) AS n FROM three WHERE t3 IS NOT NULL) WHERE n > 1),
+gone AS (SELECT DISTINCT f.doc_id, f.i FROM later JOIN (VALUES (0), (1), (2)) o(k) ON true JOIN full_lines f ON f.doc_id = later.doc_id AND f.p = later.p + o.k),
+clean AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
+    coalesce(string_agg(CASE WHEN g.i IS NULL THEN l.line END, chr(10) ORDER BY l.i), '') AS text
+  FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(c.n_lines, 0) AS n_lines, coalesce(c.n_removed, 0) AS n_removed, c.text FROM documents d LEFT JOIN clean c ON c.doc_id = d.doc_id
+"""
+
+OP8 = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[p : p + 2], ' ') AS g FROM (
+    SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS p FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+df AS (SELECT g, count(*) AS f FROM s GROUP BY g HAVING count(*) > 1),
+ranked AS (SELECT s.doc_id, s.g, n.n, row_number() OVER (PARTITION BY s.doc_id ORDER BY coalesce(df.f, 1), s.g) AS r FROM s JOIN n USING (doc_id) LEFT JOIN df USING (g)),
+prefix AS (SELECT doc_id, g, n FROM ranked WHERE r <= n - (85 * n + 99) // 100 + 1),
+cand AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM prefix a JOIN prefix b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n),
+links AS (SELECT a, b FROM (SELECT a, b, na, nb, count(*) AS c FROM cand JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND x.g = y.g GROUP BY a, b, na, nb) WHERE 100 * c >= 85 * (na + nb - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS doc_id, a AS at FROM edges UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON reach.at = edges.a),
+comp AS (SELECT doc_id, min(at) AS c FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(comp.c, d.doc_id) AS component_id, coalesce(comp.c, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN comp ON comp.doc_id = d.doc_id
+"""
+
+_PLAIN = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+OP10 = f"""
+WITH i AS (SELECT item_id, {_PLAIN.format("text")} AS ws FROM benchmark),
+iw AS (SELECT item_id, ws, least(len(ws), 5) AS k FROM i WHERE len(ws) > 0),
+ig AS (SELECT DISTINCT item_id, k, array_to_string(ws[p : p + k - 1], ' ') AS g FROM (SELECT item_id, k, ws, unnest(range(1, len(ws) - k + 2)) AS p FROM iw)),
+n AS (SELECT item_id, count(*) AS n_shingles FROM ig GROUP BY item_id),
+d AS (SELECT doc_id, {_PLAIN.format("text")} AS ws FROM documents),
+dg AS (SELECT DISTINCT doc_id, k, array_to_string(ws[p : p + k - 1], ' ') AS g FROM (
+  SELECT doc_id, k, ws, unnest(range(1, len(ws) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM ig) WHERE len(ws) >= k))
+SELECT dg.doc_id, ig.item_id, n.n_shingles, count(*) AS n_shared
+FROM dg JOIN ig ON dg.g = ig.g AND dg.k = ig.k JOIN n ON n.item_id = ig.item_id
+GROUP BY dg.doc_id, ig.item_id, n.n_shingles HAVING 100 * count(*) >= 80 * n.n_shingles
+"""
+
+ORACLE = {"op1_url_filters": OP1, "op3_quality_rules": OP3, "op4_sharding": op4, "op6_chat_formatting": OP6, "op7_line_dedup": OP7, "op8_minhash_dedup": OP8, "op10_benchmark_decontamination": OP10}
