@@ -1,0 +1 @@
+"""quillon: entity-attribute-value analytics on Spark DataFrames."""
