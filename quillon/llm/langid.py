@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from .common import process_cache, share, shared
 
 #: Bounds of the training sample: rows of a language, characters of a text, languages.
-SAMPLE_ROWS, SAMPLE_CHARS, MAX_LANGUAGES = 120, 20_000, 200
+SAMPLE_ROWS, SAMPLE_CHARS, MAX_LANGUAGES = 80, 20_000, 200
 #: Words of a training segment and sequence, passes of gradient descent, frequent words of a language.
-SEGMENT, SEQUENCE, PASSES, LEXICON = 24, 96, 40, 400
+SEGMENT, SEQUENCE, PASSES, LEXICON = 24, 96, 30, 400
 #: Hashed weights (a power of two), words of an inference block, words whose scores a worker remembers.
 WEIGHTS, BLOCK, REMEMBERED = 1 << 17, 64, 400_000
 _ROWS = 256
