@@ -40,35 +40,37 @@ _WS = r"[\x20\x09-\x0D]"
 _NWS = r"[^\x20\x09-\x0D]"
 
 
-def quality_sql(source: str = "documents") -> str:
-    """All columns of the operator, for the rows of a relation with doc_id and text."""
+def quality_sql() -> str:
+    """The contract's columns for documents."""
     stock = "|".join(BOILERPLATE)
     good = f"""NOT regexp_matches(x, '{_NWS}') OR (
       regexp_matches(x, '[.!?…。！？:;]["''”’»)\\]]*{_WS}*$') AND NOT regexp_matches(lower(x), '{stock}')
       AND len(string_split_regex(x, '(?:^|{_WS})(?:[|»›•·→]|::|>>)')) - 1 < 2
       AND (length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g'))) * 10 <= length(x))"""
     return f"""
-    SELECT doc_id, text, lang, source, n_chars, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-      (n_words < 50 OR n_repeat_words * 100 > n_words * 50) AS base_failed,
-      CASE WHEN text IS NOT NULL THEN clean END AS clean_text,
-      NOT (n_words < 50 OR n_repeat_words * 100 > n_words * 50)
-        AND (CASE WHEN word_chars > 0 THEN (word_chars - length(regexp_replace(clean, '{_WS}+', '', 'g'))) * 100 / word_chars ELSE 0 END) <= {MAX_LOST_PERCENT} AS kept
-    FROM (
-      SELECT d.*, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
-        (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-        (len(full_lines) - len(list_distinct(full_lines)))::BIGINT AS n_dup_lines,
-        coalesce((SELECT count(DISTINCT p + k) FROM (
-          SELECT p, count(*) OVER (PARTITION BY g) AS n FROM (
-            SELECT p, [w[p], w[p + 1], w[p + 2]] AS g FROM (SELECT unnest(range(1, len(w) - 1)) AS p))) q, (VALUES (0), (1), (2)) o(k) WHERE n >= 2), 0)::BIGINT AS n_repeat_words,
-        array_to_string(good_lines, chr(10)) AS clean
-      FROM (
-        SELECT *, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_NWS}+') AS w,
-          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_NWS}')) AS full_lines,
-          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: {good}) AS good_lines
-        FROM {source}) d)"""
-
-
-OP3 = "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM (" + quality_sql() + ")"
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_NWS}+') AS w, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+f AS (
+  SELECT doc_id, t, w, list_filter(lines, lambda x: regexp_matches(x, '{_NWS}')) AS full_lines,
+    array_to_string(list_filter(lines, lambda x: {good}), chr(10)) AS clean FROM d),
+one AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+three AS (SELECT doc_id, p, x, lead(x) OVER o AS y, lead(x, 2) OVER o AS z FROM one WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+twice AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, x, y, z) AS n FROM three WHERE z IS NOT NULL) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT p + k) AS n FROM twice, (VALUES (0), (1), (2)) o(k) GROUP BY doc_id),
+n AS (
+  SELECT f.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(full_lines) - len(list_distinct(full_lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+    length(regexp_replace(clean, '{_WS}+', '', 'g')) AS stay
+  FROM f LEFT JOIN covered ON covered.doc_id = f.doc_id),
+b AS (SELECT *, n_words < 50 OR n_repeat_words * 100 > n_words * 50 AS base_failed FROM n)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND (CASE WHEN word_chars > 0 THEN (word_chars - stay) * 100 / word_chars ELSE 0 END) <= {MAX_LOST_PERCENT} AS kept
+FROM b
+"""
+
+
+OP3 = quality_sql()
 
 
 def op4() -> str:
@@ -114,9 +116,10 @@ SELECT d.doc_id, coalesce(c.n_lines, 0) AS n_lines, coalesce(c.n_removed, 0) AS
 
 OP8 = """
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+one AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM w WHERE len(ws) > 2),
 s AS (
-  SELECT DISTINCT doc_id, array_to_string(ws[p : p + 2], ' ') AS g FROM (
-    SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS p FROM w WHERE len(ws) > 0)),
+  SELECT DISTINCT doc_id, g FROM (SELECT doc_id, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o AS g FROM one WINDOW o AS (PARTITION BY doc_id ORDER BY p)) WHERE g IS NOT NULL
+  UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 2),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 df AS (SELECT g, count(*) AS f FROM s GROUP BY g HAVING count(*) > 1),
 ranked AS (SELECT s.doc_id, s.g, n.n, row_number() OVER (PARTITION BY s.doc_id ORDER BY coalesce(df.f, 1), s.g) AS r FROM s JOIN n USING (doc_id) LEFT JOIN df USING (g)),
@@ -124,8 +127,8 @@ prefix AS (SELECT doc_id, g, n FROM ranked WHERE r <= n - (85 * n + 99) // 100 +
 cand AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM prefix a JOIN prefix b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n),
 links AS (SELECT a, b FROM (SELECT a, b, na, nb, count(*) AS c FROM cand JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND x.g = y.g GROUP BY a, b, na, nb) WHERE 100 * c >= 85 * (na + nb - c)),
 edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-reach AS (SELECT a AS doc_id, a AS at FROM edges UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON reach.at = edges.a),
-comp AS (SELECT doc_id, min(at) AS c FROM reach GROUP BY doc_id)
+reach AS (SELECT a AS doc_id, a AS seen FROM edges UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON reach.seen = edges.a),
+comp AS (SELECT doc_id, min(seen) AS c FROM reach GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(comp.c, d.doc_id) AS component_id, coalesce(comp.c, d.doc_id) = d.doc_id AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN comp ON comp.doc_id = d.doc_id
 """
