@@ -18,7 +18,7 @@ from .common import SPACE_CLASS
 #: Fewest words, and the largest percentage of words in repeated windows.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: A document is rejected if more than this percentage of its word characters stood in failing lines.
-MAX_LOST_PERCENT = 30
+MAX_LOST_PERCENT = 50
 #: Fixed phrases of boilerplate lines, lower case.
 BOILERPLATE = ("all rights reserved", "accept cookies", "cookie policy", "click here", "enable javascript", "lorem ipsum", "privacy policy", "sign in to", "subscribe to our newsletter", "terms of service", "terms of use")
 _WORD, _GAP = rf"[^{SPACE_CLASS}]", rf"[{SPACE_CLASS}]+"
