@@ -206,6 +206,12 @@ class Documents:
             (value.cast("string") if form == "ref" else none("string")).alias("r"),
         )
 
+    def replace(self, docs: DataFrame, id: str = "id") -> tuple[DataFrame, DataFrame]:
+        """New triples of whole documents, and the (e, a) keys of their old fields that are not set again."""
+        new = self.create(docs, id)
+        old = self.source.scan().select("e", "a").join(docs.select(F.col(id).alias("e")).distinct(), "e", "left_semi")
+        return new, old.join(new.select("e", "a"), ["e", "a"], "left_anti")
+
     def update_many(self, where: dict[str, Any], changes: dict[str, Column | Any]) -> DataFrame:
         """Triples that set fields of the matching documents; a column expression sees the old values."""
         for f in changes:

@@ -66,6 +66,31 @@ def collect_garbage(rows: DataFrame, min_active: int | None = None) -> DataFrame
     return rows.where(~collectable(min_active))
 
 
+def collect_batch(rows: DataFrame, n: int, min_active: int | None = None) -> DataFrame:
+    """One tick of incremental collection: without the n collectable versions that were deleted first."""
+    oldest = rows.where(collectable(min_active)).orderBy("deleted_txn", "e", "a", "created_txn").limit(n)
+    return rows.join(oldest.select("e", "a", "created_txn"), ["e", "a", "created_txn"], "left_anti").select(*rows.columns)
+
+
+def require_live(rows: DataFrame, keys: DataFrame) -> None:
+    """Strict updates and deletions: every key must have a live row."""
+    live = rows.where("deleted_txn = 0")
+    if missing := keys.join(live, ["e", "a"], "left_anti").limit(1).collect():
+        raise NotFound(tuple(missing[0][c] for c in ("e", "a")))
+
+
+def with_checksum(log: DataFrame) -> DataFrame:
+    """Adds crc, over all other columns of a record."""
+    cols = [c for c in log.columns if c != "crc"]
+    return log.select(*cols, F.crc32(F.to_json(F.struct(*cols)).cast("binary")).alias("crc"))
+
+
+def intact(log: DataFrame) -> DataFrame:
+    """The records whose checksum still fits."""
+    cols = [c for c in log.columns if c != "crc"]
+    return log.where(F.col("crc") == F.crc32(F.to_json(F.struct(*cols)).cast("binary")))
+
+
 def garbage_stats(rows: DataFrame, min_active: int | None = None) -> DataFrame:
     """Counts: live, collectable, and deleted but still seen by a snapshot."""
     state = F.when(F.col("deleted_txn") == 0, "live").when(collectable(min_active), "collectable").otherwise("held")

@@ -593,3 +593,32 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
     return windowed_counts(ev, "ts", ["event_type"], "1 hour").select(F.unix_seconds(F.col("window_start").cast("timestamp")).alias("window_start"), "event_type", "n")
 
+
+
+@query(_LOG + "SELECT lsn, type AS change_type, e, a, CASE WHEN type <> 'DELETE' THEN n END AS n FROM ops WHERE node <> 2")
+def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A subscription drained into a table: live changes of others, from a log that is read as a stream."""
+    from .streaming import feed
+
+    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    base = f"{conf.rstrip('/')}/feed-{uuid.uuid4().hex}"
+    rows = log(spark, sf_dir)
+    rows.write.parquet(f"{base}/in")
+    feed.drain(feed.live_changes(feed.read_log(spark, f"{base}/in", rows.schema.simpleString()[7:-1].replace(":", " ")), 2), f"{base}/out", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out").select("lsn", "change_type", "e", "a", "n")
+
+
+@query(_VERSIONS + ", g AS (SELECT *, row_number() OVER (ORDER BY deleted_txn, e, a, created_txn) AS k FROM ver WHERE deleted_txn <> 0 AND deleted_txn < 150) SELECT e, a, n, created_txn FROM ver WHERE NOT EXISTS (SELECT 1 FROM g WHERE k <= 100 AND g.e = ver.e AND g.a = ver.a AND g.created_txn = ver.created_txn)")
+def gc_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mvcc.collect_batch(mvcc.versions(log(spark, sf_dir)), 100, 150).select("e", "a", "n", "created_txn")
+
+
+@query(_T + "SELECT s.s AS name, t.s AS nation FROM t s JOIN t r ON r.e = s.e AND r.a = 'supplier/s_nationkey' JOIN t ON t.e = r.r AND t.a = 'nation/n_name' WHERE s.a = 'supplier/s_name'")
+def union_of_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query over a shared store and one's own."""
+    from .session import union_sources
+
+    shared = _stored(spark, sf_dir, ["nation/id", "nation/n_name"])
+    own = _stored(spark, sf_dir, ["supplier/s_name", "supplier/s_nationkey"])
+    q = Query(["name", "nation"]).must(V("s"), "supplier/s_name", V("name")).must(V("s"), "supplier/s_nationkey", V("n")).must(V("n"), "nation/n_name", V("nation"))
+    return run(union_sources(shared, own), q, {"name": "str", "nation": "str"})
