@@ -117,9 +117,12 @@ class Documents:
                 rows = rows.where(holds(name, F.col(f) if name in ("isDefined", "isUndefined") else self._filled(f), arg))
         return rows
 
-    def query(self, fields: list[str], where: dict[str, Any] | None = None, order_by: list[tuple[str, str]] | None = None, limit: int | None = None) -> DataFrame:
-        """Documents with the given fields. Missing values come last in either direction and sort before fallbacks."""
-        order = order_by or []
+    def query(self, fields: list[str], where: dict[str, Any] | None = None, order_by: list[tuple[str, str]] | None = None, limit: int | None = None, only_selected: bool = False) -> DataFrame:
+        """Documents with the given fields. Missing values come last in either direction and sort before fallbacks.
+
+        only_selected leaves out sort keys that aren't among the fields.
+        """
+        order = [x for x in order_by or [] if not only_selected or x[0] in fields]
         rows = self._filtered(fields, where or {}, order)
         if order:
             rows = rows.orderBy(*[F.col(f).asc_nulls_last() if d == "asc" else F.col(f).desc_nulls_last() for f, d in order])

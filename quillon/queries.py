@@ -21,6 +21,14 @@ SQL: dict[str, str] = {}
 V = Var
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A folder that driver and executors share, deleted at exit."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
 def _sql_rows() -> str:
     """The triples of all tables, as SQL."""
     parts = []
@@ -579,8 +587,7 @@ def stream_lww(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same decisions by a stream with keyed state, drained into a table."""
     from .streaming import feed
 
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    base = f"{conf.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = _scratch(spark, "stream")
     updates(spark, sf_dir).write.parquet(f"{base}/in")
     feed.drain(feed.stream_lww(feed.read_log(spark, f"{base}/in", feed.UPDATES)), f"{base}/out", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out").select((F.col("arrival") % 10_000_000).alias("id"), "outcome")
@@ -600,8 +607,7 @@ def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A subscription drained into a table: live changes of others, from a log that is read as a stream."""
     from .streaming import feed
 
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    base = f"{conf.rstrip('/')}/feed-{uuid.uuid4().hex}"
+    base = _scratch(spark, "feed")
     rows = log(spark, sf_dir)
     rows.write.parquet(f"{base}/in")
     feed.drain(feed.live_changes(feed.read_log(spark, f"{base}/in", rows.schema.simpleString()[7:-1].replace(":", " ")), 2), f"{base}/out", f"{base}/checkpoint")
@@ -622,3 +628,24 @@ def union_of_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _stored(spark, sf_dir, ["supplier/s_name", "supplier/s_nationkey"])
     q = Query(["name", "nation"]).must(V("s"), "supplier/s_name", V("name")).must(V("s"), "supplier/s_nationkey", V("n")).must(V("n"), "nation/n_name", V("nation"))
     return run(union_sources(shared, own), q, {"name": "str", "nation": "str"})
+
+
+@query("""WITH g AS (SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 7200000000 THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t) AS k FROM g) SELECT user_id, count(*) AS n, CAST(min(t) // 1000000 AS BIGINT) AS began FROM s GROUP BY user_id, k""")
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming.windows import session_counts
+
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return session_counts(ev, "ts", ["user_id"], "2 hours").select("user_id", "n", F.unix_seconds(F.col("window_start").cast("timestamp")).alias("began"))
+
+
+@query("SELECT 'part:' || p_partkey AS p, p_name AS name, CAST(p_size AS DOUBLE) AS size FROM part WHERE p_size > 30")
+def stored_star_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples written by attribute folder and read back: the query's attributes prune folders."""
+    from .sources.triples import read_triples, write_triples
+
+    base = _scratch(spark, "triples")
+    wide = open_tables(spark, sf_dir)
+    write_triples(wide.scan(attribute="part/p_name").unionByName(wide.scan(attribute="part/p_size")).unionByName(wide.scan(attribute="part/p_brand")), base)
+    q = Query(["p", "name", "size"]).must(V("p"), "part/p_name", V("name")).must(V("p"), "part/p_size", V("size")).having("size", lambda v: v.num > 30)
+    return run(read_triples(spark, base), q, {"p": "id", "name": "str", "size": "num"})

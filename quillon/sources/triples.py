@@ -89,18 +89,31 @@ class WideSource(TripleSource):
         t = self.tables.get(name)
         return (t, column) if t and (column == "id" or column in t.columns or column in t.refs) else None
 
+    def _triple(self, t: Table, column: str) -> Column:
+        """One column of a table as a triple without its entity; the kind is null where there is no value."""
+        value, kind = self._column(t, column)
+        has, *rest = payload(value, kind)
+        return F.struct(F.lit(f"{t.name}/{column}").alias("a"), F.when(value.isNotNull(), has).alias("kind"), *rest)
+
     def scan(self, entity: str | None = None, attribute: str | None = None) -> DataFrame:
+        """One scan of each table that can hold such triples; a single attribute reads its column and the key."""
         names = [attribute] if attribute is not None else self._attributes()
         if entity is not None:
             names = [a for a in names if a.startswith(entity.partition(":")[0] + "/")]
-        out = None
+        by_table: dict[str, list[str]] = {}
         for t, column in filter(None, map(self._known, names)):
-            value, kind = self._column(t, column)
-            rows = self.frames[t.name]
+            by_table.setdefault(t.name, []).append(column)
+        out = None
+        for name, columns in by_table.items():
+            t, rows = self.tables[name], self.frames[name]
             if entity is not None:
                 rows = rows.where(F.col(t.key).cast("string") == entity.partition(":")[2])
-            rows = rows.select(self._entity(t).alias("e"), F.lit(f"{t.name}/{column}").alias("a"), value.alias("v"))
-            rows = rows.where(F.col("v").isNotNull()).select("e", "a", *payload(F.col("v"), kind))
+            if len(columns) == 1:
+                value, kind = self._column(t, columns[0])
+                rows = rows.select(self._entity(t).alias("e"), F.lit(f"{name}/{columns[0]}").alias("a"), value.alias("v"))
+                rows = rows.where(F.col("v").isNotNull()).select("e", "a", *payload(F.col("v"), kind))
+            else:
+                rows = rows.select(self._entity(t).alias("e"), F.inline(F.array(*[self._triple(t, c) for c in columns]))).where("kind IS NOT NULL")
             out = rows if out is None else out.unionByName(rows)
         return out if out is not None else next(iter(self.frames.values())).sparkSession.createDataFrame([], SCHEMA)
 
