@@ -61,6 +61,18 @@ class Table:
     present: dict[str, str] = field(default_factory=dict)
 
 
+class Frames(dict):
+    """Tables of a folder, opened when they are first asked for."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        super().__init__()
+        self.spark, self.folder = spark, folder
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return df
+
+
 class WideSource(TripleSource):
     """Tables as triples: entity "<table>:<key>", attribute "<table>/<column>", marker attribute "<table>/id"."""
 
@@ -115,7 +127,7 @@ class WideSource(TripleSource):
             else:
                 rows = rows.select(self._entity(t).alias("e"), F.inline(F.array(*[self._triple(t, c) for c in columns]))).where("kind IS NOT NULL")
             out = rows if out is None else out.unionByName(rows)
-        return out if out is not None else next(iter(self.frames.values())).sparkSession.createDataFrame([], SCHEMA)
+        return out if out is not None else self.frames[next(iter(self.tables))].sparkSession.createDataFrame([], SCHEMA)
 
     def star(self, attributes: list[str]) -> DataFrame | None:
         found = [self._known(a) for a in attributes]
@@ -158,5 +170,4 @@ TABLES = [
 
 
 def open_tables(spark: SparkSession, sf_dir: str) -> WideSource:
-    frames = {t.name: spark.read.parquet(f"{sf_dir}/{t.name}.parquet") for t in TABLES}
-    return WideSource(frames, TABLES)
+    return WideSource(Frames(spark, sf_dir), TABLES)
