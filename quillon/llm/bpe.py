@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Work, process_cache
+from .common import Work, columns_but, process_cache
 
 #: Code points of a chunk, and how far it reaches into the next.
 CHUNK, OVERLAP = 65_536, 2_048
@@ -148,7 +148,7 @@ def encode(df: DataFrame, vocabulary: Broadcast, text: str = "text", chunk: int
     Edge cases: a null or empty text has no tokens (empty, not null). Texts of any length are encoded whole. Repeated
     rows are each encoded. An empty table gives an empty result.
     """
-    kept = [c for c in df.columns if c not in ("tokens", "n_tokens")]
+    kept = columns_but(df, ("tokens", "n_tokens"))
     schema = df.select(*kept).schema
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     out = f"{ddl}{', ' if ddl else ''}tokens binary, n_tokens bigint"
@@ -213,9 +213,12 @@ def _encode_long(df: DataFrame, vocabulary: Broadcast, text: str, chunk: int, ov
                 yield pa.RecordBatch.from_arrays([b.column("__row").slice(i, 1), b.column("__i").slice(i, 1), pa.array([packed], pa.binary())], names=["__row", "__i", "__ids"])
 
     coded = pieces.repartition("__row", "__i").mapInArrow(enc, "__row bigint, __i int, __ids binary")
-    joined = coded.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("__i", "__ids"))).alias("__p"))
-    packed = F.aggregate("__p", F.lit("").cast("binary"), lambda a, p: F.concat(a, p["__ids"]))
-    joined = joined.select("__row", packed.alias("tokens"), (F.octet_length(packed) / 4).cast("bigint").alias("n_tokens"))
+
+    def whole(key: tuple, table: pa.Table) -> pa.Table:
+        packed = b"".join(table.sort_by("__i").column("__ids").to_pylist())
+        return pa.table({"__row": pa.array([key[0].as_py()], pa.int64()), "tokens": pa.array([packed], pa.binary()), "n_tokens": pa.array([len(packed) // 4], pa.int64())})
+
+    joined = coded.groupBy("__row").applyInArrow(whole, "__row bigint, tokens binary, n_tokens bigint")
     return rows.join(joined, "__row").select(*kept, "tokens", "n_tokens")
 
 
@@ -224,7 +227,7 @@ def decode(df: DataFrame, vocabulary: Broadcast, tokens: str = "tokens") -> Data
 
     A column decoded in the input is replaced. The bytes need not be valid UTF-8 where ids were cut or made up.
     """
-    kept = [c for c in df.columns if c != "decoded"]
+    kept = columns_but(df, ("decoded",))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

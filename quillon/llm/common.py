@@ -83,6 +83,21 @@ class Work:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+def columns_but(df: DataFrame, names) -> list[str]:
+    """The columns of a table without the named ones; names don't differ by case."""
+    out = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in out]
+
+
+def pinned(df: DataFrame, *cols) -> DataFrame:
+    """A select whose columns are computed once for each row.
+
+    Plain projections are merged, and filters above them pushed below, by copying their expressions to wherever they
+    are used, even into lambdas, which then do them again for each element. A generator of one row stops that.
+    """
+    return df.select(F.inline(F.array(F.struct(*cols))))
+
+
 def lower_ascii(col):
     """Lower-case A-Z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

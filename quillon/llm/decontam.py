@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import share, shared
+from .common import Work, columns_but, share, shared
 from .shingles import universal, windows, word_hashes
 
 #: Words of a shingle, least containment in percent, minima of an item, percentage of minima that makes a candidate.
@@ -102,20 +102,21 @@ class Index:
         return out
 
 
-def _blocks(benchmark: DataFrame, id: str, text: str) -> list[list[tuple[int, str]]]:
-    """The benchmark in blocks of bounded size; an item is never cut."""
-    blocks: list[list[tuple[int, str]]] = [[]]
+def _blocks(benchmark: DataFrame, id: str, text: str) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark in blocks of bounded size, one at a time; an item is never cut."""
+    block: list[tuple[int, str]] = []
     size = 0
     for row in benchmark.where(F.col(text).isNotNull()).select(F.col(id).cast("bigint").alias("i"), F.col(text).alias("t")).distinct().toLocalIterator():
         if size and size + len(row.t) > BLOCK_CHARS:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row.i, row.t))
+            yield block
+            block, size = [], 0
+        block.append((row.i, row.t))
         size += len(row.t)
-    return [sorted(b, key=lambda x: (x[0] is None, x)) for b in blocks if b]
+    if block:
+        yield block
 
 
-def find_benchmark(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def find_benchmark(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Add items: the benchmark items of which a text contains at least the given percentage of shingles.
 
     A column items in the input is replaced, all others are kept.
@@ -125,11 +126,14 @@ def find_benchmark(df: DataFrame, benchmark: DataFrame, text: str = "text", item
     id and text) count once, items with a null id are reported with a null. Empty tables on either side are fine.
     """
     spark = df.sparkSession
-    kept = [c for c in df.columns if c != "items"]
+    kept = columns_but(df, ("items",))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema)
     found = df.select(*kept).withColumn("items", F.expr(f"cast(array() as {ITEMS})"))
-    for block in _blocks(benchmark, item_id, item_text):
-        held = share(spark, Index(block, k))
+    work = Work(spark, "decontam")
+    for k, block in enumerate(_blocks(benchmark, item_id, item_text)):
+        if k:  # one block is held at a time
+            found = work.table(found, f"pass-{k}")
+        held = share(spark, Index(block, width))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = shared(held)

@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import process_cache, share, shared
+from .common import columns_but, process_cache, share, shared
 
-#: Bounds of the training sample: rows of a language, characters of a text, languages.
-SAMPLE_ROWS, SAMPLE_CHARS, MAX_LANGUAGES = 80, 20_000, 200
+#: Bounds of the training sample: rows of a language and in all, characters of a text, languages.
+SAMPLE_ROWS, SAMPLE_TOTAL, SAMPLE_CHARS, MAX_LANGUAGES = 80, 4_000, 20_000, 200
 #: Words of a training segment and sequence, passes of gradient descent, frequent words of a language.
 SEGMENT, SEQUENCE, PASSES, LEXICON = 24, 96, 30, 400
 #: Hashed weights (a power of two), words of an inference block, words whose scores a worker remembers.
@@ -215,15 +215,16 @@ def sample(df: DataFrame, id: str, text: str, lang: str) -> list[tuple[str, str]
     counts = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES).collect()}
     if not counts:
         return []
-    # Twice the expected share is kept first, so that the window below sees a bounded number of rows.
+    quota = max(1, min(SAMPLE_ROWS, SAMPLE_TOTAL // len(counts)))
+    # Twice the expected share passes first; the sort below keeps as many rows and no more.
     h = F.xxhash64(F.col(id).cast("string"))
-    share = F.create_map(*[F.lit(x) for k, c in counts.items() for x in (k, min(1.0, 2 * (SAMPLE_ROWS + 20) / c))])
+    share = F.create_map(*[F.lit(x) for k, c in counts.items() for x in (k, min(1.0, 2 * (quota + 20) / c))])
     near = rows.where(F.pmod(h, F.lit(1 << 30)) <= F.element_at(share, F.col(lang)) * (1 << 30))
-    picked = near.select(F.col(lang).alias("y"), F.col(text).alias("t"), h.alias("h")).orderBy("h", "t").limit(2 * (SAMPLE_ROWS + 20) * len(counts)).collect()
+    picked = near.select(F.col(lang).alias("y"), F.col(text).alias("t"), h.alias("h")).orderBy("h", "t").limit(2 * (quota + 20) * len(counts)).collect()
     seen: Counter = Counter()
     out = []
     for r in picked:
-        if seen[r.y] < SAMPLE_ROWS:
+        if seen[r.y] < quota:
             seen[r.y] += 1
             out.append((r.t, r.y))
     return out
@@ -246,7 +247,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Edge cases: a null text, one without a letter, or a model without languages gives `und` and 0. Ties go to the
     first language in text order. Repeated rows are judged alike. An empty table gives an empty result.
     """
-    kept = [c for c in df.columns if c not in ("lang_pred", "score")]
+    kept = columns_but(df, ("lang_pred", "score"))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema)
     held = share(df.sparkSession, model)
 

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import process_cache
+from .common import columns_but, process_cache
 from .decontam import plain_words
 from .shingles import windows, word_hashes
 
@@ -139,7 +139,7 @@ def scan_licenses(df: DataFrame, text: str = "text", templates: dict[str, str] |
     reported, of two that overlap the better. Repeated rows are each scanned. An empty table gives an empty result.
     """
     given = TEMPLATES if templates is None else templates
-    kept = [c for c in df.columns if c != "licenses"]
+    kept = columns_but(df, ("licenses",))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import columns_but
+
 #: Slots of the production table: a prime, some hundred times the number of shards or more.
 SLOTS = 65_537
 #: Production shards.
@@ -66,7 +68,7 @@ def assign_shards(df: DataFrame, key: str = "doc_id", shards: Sequence[str] = SH
     Edge cases: a null key is placed like an empty text. Equal keys, and so repeated rows, share a shard; that is what
     placement by key means, and no task gathers them. An empty table gives an empty result.
     """
-    kept = [c for c in df.columns if c not in ("slot", "shard")]
+    kept = columns_but(df, ("slot", "shard"))
     text = F.coalesce(F.col(key).cast("string"), F.lit(""))
     slot = F.pmod(F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(slots)).cast("bigint")
     placed = df.select(*kept, slot.alias("slot"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lower_ascii
+from .common import columns_but, lower_ascii
 
 #: Rule indexes up to this many rules are broadcast (some 200 bytes each); larger ones are joined by a shuffle.
 MAX_BROADCAST_RULES = 200_000
@@ -149,7 +149,7 @@ def filter_urls(df: DataFrame, prefix_rules: Sequence[UrlRule] = PREFIX_RULES, p
     if len(rules) <= MAX_BROADCAST_RULES:
         index, said = F.broadcast(index), F.broadcast(said)
     out = ("host", "path", "rule", "pattern", "verdict")
-    kept = [c for c in df.columns if c not in out]
+    kept = columns_but(df, out)
     host, path = _parts(F.col(url))
     rows = df.select(F.monotonically_increasing_id().alias("__row"), F.struct(*kept).alias("__in") if kept else F.struct(F.lit(None).alias("none")).alias("__in"), F.col(url).alias("__url"), host.alias("host"), path.alias("path"))
     tokens = rows.select("*", F.explode(_tokens(F.col("__url"))).alias("token"))
