@@ -21,14 +21,19 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MAX_LOST_PERCENT = 50
 #: Fixed phrases of boilerplate lines, lower case.
 BOILERPLATE = ("all rights reserved", "accept cookies", "cookie policy", "click here", "enable javascript", "lorem ipsum", "privacy policy", "sign in to", "subscribe to our newsletter", "terms of service", "terms of use")
-_WORD, _GAP = rf"[^{SPACE_CLASS}]", rf"[{SPACE_CLASS}]+"
+_WORD, _GAP, _SIGN = rf"[^{SPACE_CLASS}]", rf"[{SPACE_CLASS}]+", r"[#*$%&|<>]"
 _ENDS = rf"[.!?…。！？:;][\"'”’»)\]]*[{SPACE_CLASS}]*$"
 _SEPARATOR = rf"(?:^|[{SPACE_CLASS}])(?:[|»›•·→]|::|>>)(?=[{SPACE_CLASS}]|$)"
 
 
 def words_of(text: Column) -> Column:
     """The words of a text, in order; none for a null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), _GAP), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), _GAP), "")
+
+
+def _signs(text: Column) -> Column:
+    """How many signs a text has."""
+    return F.size(F.split(text, _SIGN, -1)) - 1
 
 
 def _covered(hashes: Column) -> Column:
@@ -53,8 +58,7 @@ def _good_line(line: Column) -> Column:
     low = F.lower(line)
     stock = low.rlike("(?:" + "|".join(BOILERPLATE) + ")")
     cuts = F.size(F.split(line, _SEPARATOR, -1)) - 1
-    signs = F.length(line) - F.length(F.translate(line, "#*$%&|<>", ""))
-    return line.rlike(_ENDS) & ~stock & (cuts < 2) & (signs * 10 <= F.length(line))
+    return line.rlike(_ENDS) & ~stock & (cuts < 2) & (_signs(line) * 10 <= F.length(line))
 
 
 def apply_quality(df: DataFrame, text: str = "text", max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
@@ -75,15 +79,15 @@ def apply_quality(df: DataFrame, text: str = "text", max_lost_percent: int = MAX
     windows = F.when(n >= 3, F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)))).otherwise(F.expr("cast(array() as array<bigint>)"))
     d = pinned(
         d, *kept, "__t", n.cast("bigint").alias("n_words"), windows.alias("__h"),
-        F.length(F.translate("__t", " \t\n\x0b\f\r", "")).cast("bigint").alias("word_chars"),
-        (F.length("__t") - F.length(F.translate("__t", "#*$%&|<>", ""))).cast("bigint").alias("n_symbols"),
+        F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
+        _signs(F.col("__t")).cast("bigint").alias("n_symbols"),
         F.filter("__l", has_word).alias("__full"),
         F.filter("__l", lambda x: ~has_word(x) | _good_line(x)).alias("__good"),
     )
     # The base numbers, then the verdicts.
     twice = F.when(F.size("__h") > F.size(F.array_distinct("__h")), _covered(F.col("__h"))).otherwise(F.lit(0).cast("bigint"))
-    d = pinned(d, *kept, F.array_join("__good", "\n").alias("__clean"), "n_words", "word_chars", "n_symbols", (F.size("__full") - F.size(F.array_distinct("__full"))).cast("bigint").alias("n_dup_lines"), twice.alias("n_repeat_words"))
+    d = pinned(d, *kept, "__t", F.array_join("__good", "\n").alias("__clean"), "n_words", "word_chars", "n_symbols", (F.size("__full") - F.size(F.array_distinct("__full"))).cast("bigint").alias("n_dup_lines"), twice.alias("n_repeat_words"))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
-    left = F.length(F.translate("__clean", " \t\n\x0b\f\r", ""))
+    left = F.when(F.col("__clean") == F.col("__t"), F.col("word_chars")).otherwise(F.length(F.array_join(words_of(F.col("__clean")), "")))
     d = d.select(*kept, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "__clean", (F.when(F.col("word_chars") > 0, (F.col("word_chars") - left) * 100 / F.col("word_chars")).otherwise(0.0)).alias("lost_percent"))
     return d.select(*kept, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_percent", F.when(F.col(text).isNotNull(), F.col("__clean")).alias("clean_text"), (~F.col("base_failed") & (F.col("lost_percent") <= max_lost_percent)).alias("kept"))
