@@ -215,6 +215,15 @@ def _across(blocks: DataFrame, plan: _Plan) -> DataFrame:
     return dealt.mapInArrow(run, "u bigint, v bigint")
 
 
+def _with_sets(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(band, id, comp) with the columns of sets, which are fetched once for each id rather than for each bucket.
+
+    An id has no more buckets than there are bands.
+    """
+    by_id = members.groupBy("id", "comp").agg(F.collect_list("band").alias("bands"))
+    return spread_join(by_id, sets, "id", "inner").withColumn("band", F.explode("bands")).drop("bands")
+
+
 def _labelled(df: DataFrame, labels: DataFrame, key: str, out: str) -> DataFrame:
     """Add the component of a class; a class without a label is its own."""
     names = labels.select(F.col("u").alias(key), F.col("v").alias("__c"))
@@ -276,11 +285,10 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", k: in
     known = _labelled(members, labels, "id", "comp")
     mixed = known.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
     mixed = work.table(spread_join(known, mixed, "band", "inner").select("band", "id", "size", "comp"), "mixed")
-    small = spread_join(mixed.where(F.col("size") <= SMALL).select("band", "id", "comp"), sets.select("id", "sig"), "id", "inner")
+    small = _with_sets(mixed.where(F.col("size") <= SMALL), sets.select("id", "sig"))
     likely = work.table(_likely(small, plan).select(F.least("id", "hub").alias("id"), F.greatest("id", "hub").alias("hub")).distinct(), "likely")
     links = _verified(likely, sets, plan)
-    large = mixed.where(F.col("size") > SMALL)
-    large = spread_join(large, sets.select("id", "n", "set"), "id", "inner")
+    large = _with_sets(mixed.where(F.col("size") > SMALL), sets.select("id", "n", "set"))
     weights = work.table(large.groupBy("band").agg(F.count("*").alias("rows"), F.sum("n").alias("all")), "weights")
     parts = F.greatest(F.ceil(F.col("rows") / BLOCK_MEMBERS), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int")
     blocks = spread_join(large, weights.select("band", parts.alias("parts")), "band", "inner").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
