@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, licenses, line_dedup, minhash, quality, sharding, url_filter
+from . import bpe, chat, decontam, langid, licenses, line_dedup, minhash, passages, quality, sharding, url_filter
 from .sql import ORACLE
 
 
@@ -61,6 +61,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of 50 words and more, wherever they start in a line."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return passages.dedup_passages(docs).select("doc_id", "n_words", "n_cut", "text")
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return minhash.near_duplicates(docs, k=3, percent=85)
@@ -88,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_byte_bpe": op5_byte_bpe,
         "op6_chat_formatting": op6_chat_formatting,
         "op7_line_dedup": op7_line_dedup,
+        "op7_passage_dedup": op7_passage_dedup,
         "op8_minhash_dedup": op8_minhash_dedup,
         "op9_language_id": op9_language_id,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
