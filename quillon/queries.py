@@ -111,6 +111,14 @@ def index_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.members(rows, keys)
 
 
+@query("SELECT 'part:' || p_partkey AS e, 'part/p_name' AS a FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)")
+def index_membership_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys come from a whole table: the parts of all line items."""
+    rows = open_tables(spark, sf_dir).scan(attribute="part/p_name")
+    parts = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey").distinct()
+    return scans.members(rows, parts.select(F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("e"), F.lit("part/p_name").alias("a")))
+
+
 # --- patterns ---
 
 
@@ -222,6 +230,13 @@ def bgp_value_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(open_tables(spark, sf_dir), few, {"s": "id", "c": "id"})
 
 
+@query("SELECT 'nation:' || s_nationkey AS n, count(*) AS pairs FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE c_mktsegment = 'BUILDING' GROUP BY s_nationkey")
+def bgp_value_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All suppliers; pairs are counted by the value they share."""
+    q = Query(["n"]).must(V("s"), "supplier/s_nationkey", V("n")).must(V("c"), "customer/c_nationkey", V("n")).must(V("c"), "customer/c_mktsegment", "BUILDING")
+    return run(open_tables(spark, sf_dir), q, {"n": "id"}).groupBy("n").agg(F.count("*").alias("pairs"))
+
+
 @query("SELECT 'part:' || a.p_partkey AS x, 'labels:' || l.doc_id AS y FROM part a JOIN labels l ON a.p_size = l.quality WHERE a.p_size = 1")
 def bgp_number_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = Query(["x", "y"]).must(V("x"), "part/p_size", V("v")).must(V("y"), "labels/quality", V("v"))
@@ -274,6 +289,13 @@ def optional_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(open_tables(spark, sf_dir), q, {"o": "id", "place": "str"})
 
 
+@query("SELECT 'orders:' || o_orderkey AS o, n_name AS place FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey")
+def optional_chain_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders."""
+    q = Query(["o", "place"]).must(V("o"), "orders/o_custkey", V("c")).may(V("c"), "customer/c_nationkey", V("n")).may(V("n"), "nation/n_name", V("place"))
+    return run(open_tables(spark, sf_dir), q, {"o": "id", "place": "str"})
+
+
 @query("""SELECT 'customer:' || c_custkey AS c, coalesce(CASE WHEN c_acctbal >= 5000 THEN c_name END, n_name) AS v
 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < 5000 OR c_acctbal >= 5000 AND c_name = n_name
 UNION ALL SELECT 'customer:' || c_custkey, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal >= 5000 AND c_name <> n_name""")
@@ -334,6 +356,13 @@ def display_datoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(TripleSource(few), Query(["c", "a", "v"]).must(V("c"), V("a"), V("v")))
 
 
+@query("SELECT '#customer:' || c_custkey AS c, ':customer/c_mktsegment' AS a, '\"' || c_mktsegment || '\"' AS v FROM customer")
+def display_datoms_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers."""
+    rows = open_tables(spark, sf_dir).scan(attribute="customer/c_mktsegment")
+    return run(TripleSource(rows), Query(["c", "a", "v"]).must(V("c"), V("a"), V("v")))
+
+
 # --- documents ---
 
 _SCHEMA = documents.Schema(
