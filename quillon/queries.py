@@ -431,6 +431,18 @@ def order_nulls_last_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir, "customer").query(["id", "c_acctbal"], order_by=[("c_acctbal", "desc"), ("id", "asc")], limit=1400)
 
 
+@query(_ordered("ASC").removesuffix(" LIMIT 1400"))
+def order_nulls_last_asc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers, those without a balance last."""
+    return _docs(spark, sf_dir, "customer").query(["id", "c_acctbal"], order_by=[("c_acctbal", "asc"), ("id", "asc")])
+
+
+@query(_ordered("DESC").removesuffix(" LIMIT 1400"))
+def order_nulls_last_desc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers, those without a balance last."""
+    return _docs(spark, sf_dir, "customer").query(["id", "c_acctbal"], order_by=[("c_acctbal", "desc"), ("id", "asc")])
+
+
 @query("SELECT 'part:' || p_partkey AS id, CAST(p_size AS DOUBLE) AS p_size, p_name FROM part ORDER BY p_size DESC, p_name, 'part:' || p_partkey LIMIT 25")
 def order_multi_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir, "part").query(["id", "p_size", "p_name"], order_by=[("p_size", "desc"), ("p_name", "asc"), ("id", "asc")], limit=25)

@@ -23,3 +23,14 @@ def test_nothing_is_cut(spark, name):
     got = queries.QUERIES[name](spark, SF).selectExpr(f"{mine} AS k").first().k
     short = queries.QUERIES[name.removesuffix("_all")](spark, SF).count()
     assert short < got == c.execute(theirs).fetchone()[0]
+
+
+@pytest.mark.parametrize("direction", ["asc", "desc"])
+def test_missing_values_come_last(spark, tmp_path, direction):
+    """2,000 customers, more than the short forms return: every fourth has no balance."""
+    rows = [(k, f"c{k}", -5.0 if k % 4 == 0 else float(k * 7 % 1999), "BUILDING", 1) for k in range(2000)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_acctbal double, c_mktsegment string, c_nationkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    got = [r.id for r in queries.QUERIES[f"order_nulls_last_{direction}_all"](spark, str(tmp_path)).collect()]
+    sign = 1 if direction == "asc" else -1
+    want = sorted(rows, key=lambda r: (r[2] < 0, sign * r[2] if r[2] >= 0 else 0, f"customer:{r[0]}"))
+    assert got == [f"customer:{r[0]}" for r in want]
