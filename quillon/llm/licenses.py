@@ -1,7 +1,7 @@
-"""License scans: winnowed template fingerprints in an inverted index, then banded alignment of word sequences.
+"""License scans: template fingerprints in an inverted index, then banded alignment of word sequences.
 
-Every template's three-word hashes are winnowed (the least of each run of WINNOW stays), so any run of
-WINNOW + GRAM - 1 shared words holds a fingerprint. A document's three-word hashes are looked up in the index; hits of
+Every three-word hash of every template is in the index. Templates so short that changed words within their threshold
+can break all of their three-word runs have shorter ones there. A document's hashes are looked up in the index; hits of
 one template on nearby diagonals make a candidate, which is aligned locally with the template's words inside a band.
 An alignment that matches enough of the template is reported with its span in the text.
 
@@ -21,8 +21,8 @@ from .common import columns_but, process_cache
 from .decontam import plain_words
 from .shingles import windows, word_hashes
 
-#: Words of a fingerprint, window of winnowing, half width of the band, least percentage of a template's words.
-GRAM, WINNOW, BAND, PERCENT = 3, 4, 8, 80
+#: Words of a fingerprint at most, half width of the band, least percentage of a template's words.
+GRAM, BAND, PERCENT = 3, 8, 80
 #: Fixed texts of licenses and license notices.
 TEMPLATES = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
@@ -66,33 +66,42 @@ def align(template: np.ndarray, words: np.ndarray, middle: int, band: int | None
     return best[1], best[2], end
 
 
+def gram_words(n: int, percent: int) -> int:
+    """Words of the fingerprints of a template of n words: no more than stay in a run when others are changed."""
+    need = max(1, -(-n * percent // 100))
+    return max(1, min(GRAM, -(-need // (n - need + 1))))
+
+
 class Templates:
-    """Word hashes of the templates and the inverted index of their fingerprints."""
+    """Word hashes of the templates and the inverted indexes of their fingerprints, one for each length of these."""
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], percent: int = PERCENT):
         self.names = sorted(templates)
         self.words = [word_hashes(plain_words(templates[n])) for n in self.names]
-        found: dict[int, list[tuple[int, int]]] = {}
+        found: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for t, h in enumerate(self.words):
-            grams = windows(h, GRAM)
-            picks = range(len(grams)) if len(grams) < WINNOW else sorted({i + int(grams[i : i + WINNOW].argmin()) for i in range(len(grams) - WINNOW + 1)})
-            for p in picks:
-                found.setdefault(int(grams[p]), []).append((t, p))
-        self.keys = np.array(sorted(found), dtype=np.uint64)
-        self.places = [found[x] for x in self.keys.tolist()]
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[self.keys >> np.uint64(44)] = True
+            k = gram_words(len(h), percent)
+            for p, g in enumerate(windows(h, k).tolist()):
+                found.setdefault(k, {}).setdefault(g, []).append((t, p))
+        self.indexes = []
+        for k, places in found.items():
+            keys = np.array(sorted(places), dtype=np.uint64)
+            bits = np.zeros(1 << 20, bool)
+            bits[keys >> np.uint64(44)] = True
+            self.indexes.append((k, keys, [places[x] for x in keys.tolist()], bits))
 
     def candidates(self, h: np.ndarray) -> list[tuple[int, int, int]]:
         """(template, least and largest diagonal) of groups of hits that lie within a band of each other."""
-        if len(h) < GRAM or not len(self.keys):
-            return []
-        g = windows(h, GRAM)
-        at = np.flatnonzero(self.bits[g >> np.uint64(44)])
-        if not len(at):
-            return []
-        key = np.minimum(np.searchsorted(self.keys, g[at]), len(self.keys) - 1)
-        hits = sorted({(t, q - p) for q, k, x in zip(at.tolist(), key.tolist(), g[at], strict=True) if self.keys[k] == x for t, p in self.places[k]})
+        seen: set[tuple[int, int]] = set()
+        for k, keys, places, bits in self.indexes:
+            if len(h) < k:
+                continue
+            g = windows(h, k)
+            at = np.flatnonzero(bits[g >> np.uint64(44)])
+            if len(at):
+                key = np.minimum(np.searchsorted(keys, g[at]), len(keys) - 1)
+                seen.update((t, q - p) for q, x, v in zip(at.tolist(), key.tolist(), g[at], strict=True) if keys[x] == v for t, p in places[x])
+        hits = sorted(seen)
         out: list[tuple[int, int, int]] = []
         for t, d in hits:
             if out and out[-1][0] == t and d - out[-1][2] <= BAND // 2 and d - out[-1][1] <= BAND:
@@ -112,7 +121,10 @@ class Templates:
             else:
                 middle = (low + high) // 2
                 start = max(0, middle - BAND)
-                n, a, e = align(own, h[start : middle + m + BAND], middle - start, BAND + (high - low))
+                near = h[start : middle + m + BAND]
+                if 100 * int(np.isin(own, near).sum()) < percent * m:
+                    continue
+                n, a, e = align(own, near, middle - start, BAND + (high - low))
                 a, e = a + start, e + start
             if 100 * n >= percent * m and found.get((t, a), (0, 0))[0] < n:
                 found[t, a] = (n, e)
@@ -144,9 +156,9 @@ def scan_licenses(df: DataFrame, text: str = "text", templates: dict[str, str] |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = process_cache()
-        key = ("licenses", tuple(sorted(given.items())))
+        key = ("licenses", percent, tuple(sorted(given.items())))
         if key not in cache:
-            cache[key] = Templates(given)
+            cache[key] = Templates(given, percent)
         index = cache[key]
         kind = pa.list_(pa.struct([("license", pa.string()), ("n_words", pa.int32()), ("n_matched", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
