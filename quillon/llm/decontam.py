@@ -1,11 +1,12 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search with exact verification.
+"""Benchmark decontamination: MinHash containment search with exact verification.
 
 A benchmark item is short and a document long, so the two sets' own minima rarely meet. Containment is estimated the
 other way round: the minima of an item under MINIMA universal hash functions are shingles of the item, and the share
 of them found in the document's set estimates how much of the item the document contains. The minima of all items
-make one sorted index. Documents are partitioned by size: those of a power of two of shingles go together, and in
-each partition either the documents' shingles are looked up in the index, or, where a document is larger than the
-index, the index in the document. Candidates are verified by exact containment of the item's full shingle set.
+make one sorted index. They are looked up in whole documents, which have no sketches of their own: a document's shingles
+in the index, or, where a document is far larger than the index, the index in the document. Size partitions are not
+used; search() only takes documents in order of size. Candidates are verified by exact containment of the item's full
+shingle set.
 
 At the threshold of 0.8 the chance to see less than a quarter of 24 minima is about 3e-10; items of fewer shingles
 are looked up whole. The benchmark is held in blocks of bounded size, and each block is one pass over the documents.
