@@ -7,10 +7,13 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark import Broadcast, cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Functions that run on executors travel with the plan, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__package__])
@@ -89,6 +92,48 @@ def columns_but(df: DataFrame, names) -> list[str]:
     return [c for c in df.columns if c.lower() not in out]
 
 
+def at(name: str) -> Column:
+    """A column by its plain name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like the given one that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def packed(names) -> Column:
+    """The named columns as one struct __in, so that an operator's own names can't clash with them."""
+    return (F.struct(*map(at, names)) if names else F.struct(F.lit(None).alias("none"))).alias("__in")
+
+
+def unpacked(names) -> list[Column]:
+    return [F.col("__in").getField(c).alias(c) for c in names]
+
+
+def map_batches(df: DataFrame, names, run, *fields: tuple[str, str]) -> DataFrame:
+    """The named columns and new fields, given as (name, type), by Arrow batches.
+
+    run takes batches of the named columns and yields batches of these and the fields, in this order. Columns travel
+    under plain names and their types as they are, so no name needs quotes.
+    """
+    names, new = list(names), [n for n, _ in fields]
+    plain = [f"c{i}" for i in range(len(names) + len(new))]
+    made = T.StructType([T.StructField(p, df.schema[c].dataType) for p, c in zip(plain, names, strict=False)])
+    for p, (_, kind) in zip(plain[len(names) :], fields, strict=True):
+        made.add(p, T.DataType.fromDDL(kind))
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches):
+            yield pa.RecordBatch.from_arrays(out.columns, names=plain)
+
+    given = df.select(*[at(c).alias(p) for p, c in zip(plain, names, strict=False)])
+    return given.mapInArrow(renamed, made).toDF(*names, *new)
+
+
 def pinned(df: DataFrame, *cols) -> DataFrame:
     """A select whose columns are computed once for each row.
 

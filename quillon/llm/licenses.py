@@ -1,9 +1,11 @@
-"""License scans: template fingerprints in an inverted index, then banded alignment of word sequences.
+"""License scans: winnowed template fingerprints in an inverted index, then banded alignment of word sequences.
 
-Every three-word hash of every template is in the index. Templates so short that changed words within their threshold
-can break all of their three-word runs have shorter ones there. A document's hashes are looked up in the index; hits of
-one template on nearby diagonals make a candidate, which is aligned locally with the template's words inside a band.
-An alignment that matches enough of the template is reported with its span in the text.
+Fingerprints are hashes of two-word runs, winnowed as far as a template's length allows: any run of words that changes
+within the threshold must leave holds one (guaranteed_run). A document's two-word hashes are looked up in the index;
+hits of one template are chained along the text, whatever their diagonals, and a chain with as many hits as such changes
+must leave is aligned with the template's words. The band is as wide as the scoring allows a counted alignment to drift,
+so the band loses nothing. An alignment that matches enough of the template is reported with its span in the text, then
+what is left on both sides of it is looked at again.
 
 The index is a few thousand entries whatever the corpus is. One pass over the texts, no shuffle.
 """
@@ -17,12 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import columns_but, process_cache
+from .common import columns_but, map_batches, process_cache
 from .decontam import plain_words
 from .shingles import windows, word_hashes
 
-#: Words of a fingerprint at most, half width of the band, least percentage of a template's words.
-GRAM, BAND, PERCENT = 3, 8, 80
+#: Words of a fingerprint, least percentage of a template's words.
+GRAM, PERCENT = 2, 80
 #: Fixed texts of licenses and license notices.
 TEMPLATES = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
@@ -41,48 +43,77 @@ _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 FOUND = "array<struct<license:string,n_words:int,n_matched:int,start:bigint,end:bigint>>"
 
 
+#: A cell of an alignment in one integer: score, matched words, first word. Later first words are shorter alignments.
+_SCORE, _MATCH = 1 << 43, 1 << 23
+
+
 def align(template: np.ndarray, words: np.ndarray, middle: int, band: int | None) -> tuple[int, int, int]:
     """Best local alignment: (matched words, first word, word after the last); 2 for a match, -1 for anything else.
 
     Cells further than band from the diagonal middle (word minus template position) are left out; None: none are. Of
-    equal scores the first end in the text, and then in the template, counts; a step back prefers the diagonal.
+    equal scores the one with more matched words, then the first end in the text, then the shorter one counts.
     """
-    m, n = len(template), len(words)
-    score: dict[tuple[int, int], tuple[int, int, int]] = {}
-    best, end = (0, 0, 0), 0
-    for j in range(n):
+    m = len(template)
+    gap = np.arange(m + 1, dtype=np.int64) * _SCORE
+    row, best, end = np.zeros(m + 1, np.int64), _SCORE - 1, 0
+    for j, word in enumerate(words):
         lo, hi = (0, m) if band is None else (max(0, j - middle - band), min(m, j - middle + band + 1))
-        for i in range(lo, hi):
-            s, c, a = score.get((i - 1, j - 1), (0, 0, j))
-            now = (s + 2, c + 1, a) if template[i] == words[j] else (s - 1, c, a)
-            for near in ((i - 1, j), (i, j - 1)):
-                s, c, a = score.get(near, (0, 0, j))
-                if s - 1 > now[0]:
-                    now = (s - 1, c, a)
-            if now[0] > 0:
-                score[i, j] = now
-                if now[0] > best[0]:
-                    best, end = now, j + 1
-    return best[1], best[2], end
-
-
-def gram_words(n: int, percent: int) -> int:
-    """Words of the fingerprints of a template of n words: no more than stay in a run when others are changed."""
-    need = max(1, -(-n * percent // 100))
-    return max(1, min(GRAM, -(-need // (n - need + 1))))
+        if lo >= hi:
+            row[:] = j + 1
+            continue
+        step = np.where(template[lo:hi] == word, 2 * _SCORE + _MATCH, -_SCORE)
+        # From the diagonal or from above, then from the left: a running maximum with the gaps taken off.
+        now = np.maximum(row[lo:hi] + step, row[lo + 1 : hi + 1] - _SCORE)
+        now = np.maximum.accumulate(now + gap[lo:hi]) - gap[lo:hi]
+        row[:] = j + 1
+        row[lo + 1 : hi + 1] = np.where(now >= _SCORE, now, j + 1)
+        if (top := int(now.max())) // _MATCH > best // _MATCH:
+            best, end = top, j + 1
+    if not end:
+        return 0, 0, 0
+    return (best % _SCORE) // _MATCH, best % _MATCH, end
+
+
+def needed(n: int, percent: int) -> int:
+    return max(1, -(-n * percent // 100))
+
+
+def guaranteed_run(n: int, percent: int) -> int:
+    """The longest run that a template of n words keeps when as many words as the threshold allows are changed or left
+    out, and others put in at as many places."""
+    return -(-needed(n, percent) // (2 * (n - needed(n, percent)) + 1))
+
+
+def winnow(grams: np.ndarray, window: int) -> list[int]:
+    """The place of the least hash in every window of hashes, each once; the last of equal ones."""
+    if not len(grams):
+        return []
+    starts = range(max(1, len(grams) - window + 1))
+    return sorted({max(range(i, min(i + window, len(grams))), key=lambda p: (-int(grams[p]), p)) for i in starts})
 
 
 class Templates:
-    """Word hashes of the templates and the inverted indexes of their fingerprints, one for each length of these."""
+    """Word hashes of the templates and the inverted index of their fingerprints."""
 
     def __init__(self, templates: dict[str, str], percent: int = PERCENT):
-        self.names = sorted(templates)
+        self.names, self.percent = sorted(templates), percent
         self.words = [word_hashes(plain_words(templates[n])) for n in self.names]
+        self.need = [needed(len(h), percent) for h in self.words]
+        #: Hits that a place must have: with all two-word runs indexed, those that the changes leave.
+        self.least = [1] * len(self.words)
         found: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for t, h in enumerate(self.words):
-            k = gram_words(len(h), percent)
-            for p, g in enumerate(windows(h, k).tolist()):
-                found.setdefault(k, {}).setdefault(g, []).append((t, p))
+            if not len(h):
+                continue
+            run = guaranteed_run(len(h), percent)
+            k = min(GRAM, run)
+            window = run - k + 1
+            if window == 1:
+                n, need = len(h), self.need[t]
+                self.least[t] = max(1, need - (k - 1) * (2 * (n - need) + 1))
+            grams = windows(h, k)
+            for p in winnow(grams, window):
+                found.setdefault(k, {}).setdefault(int(grams[p]), []).append((t, p))
         self.indexes = []
         for k, places in found.items():
             keys = np.array(sorted(places), dtype=np.uint64)
@@ -90,56 +121,71 @@ class Templates:
             bits[keys >> np.uint64(44)] = True
             self.indexes.append((k, keys, [places[x] for x in keys.tolist()], bits))
 
-    def candidates(self, h: np.ndarray) -> list[tuple[int, int, int]]:
-        """(template, least and largest diagonal) of groups of hits that lie within a band of each other."""
-        seen: set[tuple[int, int]] = set()
+    def candidates(self, h: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(template, first word, word after the last, least and largest diagonal) of places with enough hits.
+
+        An alignment that counts has at most three words of text for each of the template's, so hits that can't meet
+        in one stand six times its length apart; nearer ones are chained, in order of the text.
+        """
+        seen: dict[int, list[tuple[int, int]]] = {}
         for k, keys, places, bits in self.indexes:
             if len(h) < k:
                 continue
             g = windows(h, k)
-            at = np.flatnonzero(bits[g >> np.uint64(44)])
-            if len(at):
-                key = np.minimum(np.searchsorted(keys, g[at]), len(keys) - 1)
-                seen.update((t, q - p) for q, x, v in zip(at.tolist(), key.tolist(), g[at], strict=True) if keys[x] == v for t, p in places[x])
-        hits = sorted(seen)
-        out: list[tuple[int, int, int]] = []
-        for t, d in hits:
-            if out and out[-1][0] == t and d - out[-1][2] <= BAND // 2 and d - out[-1][1] <= BAND:
-                out[-1] = (t, out[-1][1], d)
-            else:
-                out.append((t, d, d))
+            near = np.flatnonzero(bits[g >> np.uint64(44)])
+            if len(near):
+                key = np.minimum(np.searchsorted(keys, g[near]), len(keys) - 1)
+                for q, x in zip(near[keys[key] == g[near]].tolist(), key[keys[key] == g[near]].tolist(), strict=True):
+                    for t, p in places[x]:
+                        seen.setdefault(t, []).append((q, p))
+        out = []
+        for t, hits in sorted(seen.items()):
+            reach, least = 3 * len(self.words[t]), self.least[t]
+            hits.sort()
+            chain = [hits[0]]
+            for hit in [*hits[1:], None]:
+                if hit is not None and hit[0] - chain[-1][0] <= 2 * reach:
+                    chain.append(hit)
+                    continue
+                at = sorted({q for q, _ in chain})
+                if any(at[i + least - 1] - at[i] <= reach for i in range(len(at) - least + 1)):
+                    drift = [q - p for q, p in chain]
+                    out.append((t, max(0, at[0] - reach), min(len(h), at[-1] + reach + GRAM), min(drift), max(drift)))
+                chain = [hit]
         return out
 
-    def scan(self, text: str | None, percent: int) -> list[dict]:
-        h = word_hashes(plain_words(text))
-        found: dict[tuple[int, int], tuple[int, int]] = {}
-        for t, low, high in self.candidates(h):
-            own = self.words[t]
-            m, start = len(own), max(0, low)
-            if low == high and low >= 0 and np.array_equal(h[low : low + m], own):
-                n, a, e = m, low, low + m
+    def _places(self, t: int, h: np.ndarray, start: int, end: int, low: int, high: int) -> list[tuple[int, int, int]]:
+        """(first word, matched words, word after the last) of all counted alignments between two words."""
+        own, need = self.words[t], self.need[t]
+        m = len(own)
+        out, todo = [], [(start, end)]
+        while todo:
+            a, b = todo.pop()
+            near = h[a:b]
+            if len(near) < need or int(np.isin(own, near).sum()) < need:
+                continue
+            whole = next((i for i in np.flatnonzero(near[: len(near) - m + 1] == own[0]).tolist() if np.array_equal(near[i : i + m], own)), None) if len(near) >= m else None
+            if whole is not None:
+                n, s, e = m, whole, whole + m
             else:
                 middle = (low + high) // 2
-                start = max(0, middle - BAND)
-                near = h[start : middle + m + BAND]
-                if 100 * int(np.isin(own, near).sum()) < percent * m:
-                    continue
-                n, a, e = align(own, near, middle - start, BAND + (high - low))
-                a, e = a + start, e + start
-            if 100 * n >= percent * m and found.get((t, a), (0, 0))[0] < n:
-                found[t, a] = (n, e)
+                n, s, e = align(own, near, middle - a, 2 * m + (high - low + 1) // 2)
+            if n < need:
+                continue
+            out.append((a + s, n, a + e))
+            todo += [(a, a + s), (a + e, b)]
+        return sorted(out)
+
+    def scan(self, text: str | None, percent: int) -> list[dict]:
+        if percent != self.percent:
+            raise ValueError("the index was made for another threshold")
+        h = word_hashes(plain_words(text))
+        found = sorted((a, t, n, e) for t, *place in self.candidates(h) for a, n, e in self._places(t, h, *place))
         if not found:
             return []
         spans = [(w.start(), w.end()) for w in _WORD.finditer(text)]
-        rows, last = [], {}
-        for (t, a), (n, e) in sorted(found.items()):
-            if t in last and a < last[t][0]:  # overlaps the one before: the better stays
-                if n <= last[t][1]:
-                    continue
-                rows.pop()
-            last[t] = (e, n)
-            rows.append({"license": self.names[t], "n_words": len(self.words[t]), "n_matched": n, "start": spans[a][0], "end": spans[e - 1][1]})
-        return rows
+        rows = [{"license": self.names[t], "n_words": len(self.words[t]), "n_matched": n, "start": spans[a][0], "end": spans[e - 1][1]} for a, t, n, e in found]
+        return sorted(rows, key=lambda r: (r["license"], r["start"]))
 
 
 def scan_licenses(df: DataFrame, text: str = "text", templates: dict[str, str] | None = None, percent: int = PERCENT) -> DataFrame:
@@ -148,11 +194,11 @@ def scan_licenses(df: DataFrame, text: str = "text", templates: dict[str, str] |
     Spans are code points of the text, the end is exclusive. A column licenses in the input is replaced.
 
     Edge cases: a null or empty text has none; texts are scanned whole; several places of one template are all
-    reported, of two that overlap the better. Repeated rows are each scanned. An empty table gives an empty result.
+    reported, best first, and none overlap. A template without words is nowhere. Repeated rows are each scanned. An
+    empty table gives an empty result.
     """
     given = TEMPLATES if templates is None else templates
     kept = columns_but(df, ("licenses",))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = process_cache()
@@ -165,4 +211,4 @@ def scan_licenses(df: DataFrame, text: str = "text", templates: dict[str, str] |
             found = pa.array([index.scan(t.as_py(), percent) for t in batch.column(text)], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "licenses"])
 
-    return df.select(*kept).mapInArrow(run, f"{ddl}, licenses {FOUND}")
+    return map_batches(df, kept, run, ("licenses", FOUND))
