@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontam, langid, licenses, line_dedup, minhash, passages, quality, sharding, url_filter
+from .common import pinned
 from .sql import ORACLE
 
 
@@ -51,7 +52,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.sql("SELECT id AS turn, bigint(-7) AS conv_id, IF(id = 0, 'user', 'assistant') AS role, '</s>[INST] ok [/INST]' AS text FROM range(2)")
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     done = chat.format_chats(turns.unionByName(extra))
-    seen = done.select("conv_id", "n_turns", F.length("formatted").cast("bigint").alias("formatted_chars"), chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    seen = pinned(done, "conv_id", F.length("formatted").cast("bigint").alias("formatted_chars"), chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     said = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return seen.select("conv_id", F.size("t").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 

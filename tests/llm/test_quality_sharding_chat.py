@@ -96,3 +96,21 @@ def test_chat_round_trip(spark):
         assert got[conv].n_blocks == sum(i == 0 or mine[i][2] != mine[i - 1][2] for i in range(len(mine)))
     assert got[2].formatted == "<s>[INST]user[/INST]a[INST][/INST]b[INST][/INST]b</s><s>[INST]assistant[/INST]c[INST][/INST]d</s>"
     assert chat.format_chats(df.limit(0)).collect() == []
+
+
+def test_a_conversation_of_32_000_turns(spark):
+    """Linear in its turns: seconds, with characters of one to four bytes and roles that change and don't."""
+    import time
+
+    said = ["é𝒳 [INST] ok", "plain words of a turn", "</s>", "", "漢字 " * 20]
+    n = 32_000
+    turns = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "IF(id % 5 < 2, 'user', 'assistant') AS role").withColumn("text", F.get(F.array(*map(F.lit, said)), F.col("turn") % len(said)))
+    began = time.time()
+    done = chat.format_chats(turns)
+    r = done.select("n_turns", "n_blocks", "formatted", chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert time.time() - began < 60
+    roles = ["user" if i % 5 < 2 else "assistant" for i in range(n)]
+    texts = [said[i % len(said)] for i in range(n)]
+    assert [(x.role, x.text) for x in r.t] == list(zip(roles, texts, strict=True)) and r.n_turns == n
+    assert r.loss == "".join(x for y, x in zip(roles, texts, strict=True) if y == "assistant")
+    assert r.n_blocks == 1 + sum(a != b for a, b in zip(roles, roles[1:]))
