@@ -1,37 +1,40 @@
-"""Benchmark decontamination: MinHash containment search with exact verification.
-
-A benchmark item is short and a document long, so the two sets' own minima rarely meet. Containment is estimated the
-other way round: the minima of an item under MINIMA universal hash functions are shingles of the item, and the share
-of them found in the document's set estimates how much of the item the document contains. The minima of all items
-make one sorted index. They are looked up in whole documents, which have no sketches of their own: a document's shingles
-in the index, or, where a document is far larger than the index, the index in the document. Size partitions are not
-used; search() only takes documents in order of size. Candidates are verified by exact containment of the item's full
-shingle set.
-
-At the threshold of 0.8 the chance to see less than a quarter of 24 minima is about 3e-10; items of fewer shingles
-are looked up whole. The benchmark is held in blocks of bounded size, and each block is one pass over the documents.
+"""Benchmark decontamination: size-partitioned MinHash containment search with exact verification.
+
+A benchmark item is short and a document long, so the two sets' own minima rarely meet. Containment is estimated from
+the item's side: under each universal hash function the minimum of an item is one of its shingles, and lies in a
+document's set with a chance equal to the share of the item that the document contains.
+
+Documents are partitioned by size, in powers of two, and each partition has settings of its own, derived from its bound
+(settings): how many minima of an item are looked up, and how many must be seen. Longer documents hold more shingles by
+chance, so they are asked for more. An item that the bound shows to be too large for a partition's documents isn't
+looked for there. The least number seen keeps the chance to miss an item at the threshold below MISS in every partition.
+Candidates are verified by exact containment of the item's whole shingle set.
+
+The benchmark is held in blocks of bounded size; all blocks are looked up in one pass over the documents, one block in
+memory at a time. There is no shuffle, so common passages gather in no task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import Work, columns_but, share, shared
+from .common import at, columns_but, map_batches, share, shared
 from .shingles import universal, windows, word_hashes
 
-#: Words of a shingle, least containment in percent, minima of an item, percentage of minima that makes a candidate.
-SHINGLE, PERCENT, MINIMA, SEEN_PERCENT = 5, 80, 24, 25
-#: Characters of benchmark texts in a block: about so many bytes are broadcast, twice over for their hashes.
-BLOCK_CHARS = 16_000_000
-_ROWS = 256
+#: Words of a shingle, least containment in percent, chance to miss an item at the threshold.
+SHINGLE, PERCENT, MISS = 5, 80, 1e-9
+#: Minima of an item that are kept, at most.
+MINIMA = 48
+#: Characters of benchmark texts in a block, and what an item counts besides its own: some three bytes are held for each.
+BLOCK_CHARS, ITEM_CHARS = 16_000_000, 400
 #: All ASCII but letters and digits parts words.
 _CUT = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-ITEMS = "array<struct<item_id:bigint,n_shingles:bigint,n_shared:bigint>>"
 
 
 def plain_words(text: str | None) -> list[bytes]:
@@ -39,80 +42,101 @@ def plain_words(text: str | None) -> list[bytes]:
     return text.encode().lower().translate(_CUT).split() if text else []
 
 
+@cache
+def settings(part: int, percent: int) -> tuple[int, int]:
+    """Minima looked up and least number seen in documents of fewer than 2**part shingles.
+
+    A minimum is in a document with the chance of the item's containment, so the number seen is binomial. Two minima
+    more for every doubling of the size; as few seen as keep the chance of a miss below MISS.
+    """
+    share = percent / 100
+    n = MINIMA if share < 0.5 else min(MINIMA, math.ceil(math.log(MISS) / math.log1p(-share)) if share < 1 else 1)
+    n = min(MINIMA, n + 2 * max(0, part - 6))
+    seen, below = 0, 0.0
+    while seen < n and (below := below + math.comb(n, seen) * share**seen * (1 - share) ** (n - seen)) <= MISS:
+        seen += 1
+    return n, max(1, seen)
+
+
 class Index:
-    """The items of one block."""
+    """The items of one block, and the inverted index of their minima, in which each has its rank."""
 
-    def __init__(self, items: list[tuple[int, str]], k: int):
+    def __init__(self, items: list[tuple[object, str]], k: int, percent: int):
         a, b = universal(MINIMA, seed=11)
-        self.k, self.sets, self.widths = k, [], set()
-        found: dict[int, list[int]] = {}
-        self.n_minima = []
-        for at, (item, text) in enumerate(items):
+        self.k, self.percent, self.ids, self.sets, width = k, percent, [], [], []
+        low = np.zeros((len(items), MINIMA), np.uint64)
+        for item, text in items:
             h = word_hashes(plain_words(text))
-            s = np.unique(windows(h, k))
-            self.sets.append((item, min(k, len(h)), s))
-            self.widths.add(min(k, len(h)))
-            low = np.unique(s[(s[None, :] * a[:, None] + b[:, None]).argmin(axis=1)]) if len(s) > MINIMA else s
-            self.n_minima.append(len(low))
-            for x in low.tolist():
-                found.setdefault(x, []).append(at)
-        self.widths.discard(0)
-        self.keys = np.array(sorted(found), dtype=np.uint64)
-        self.owners = [found[x] for x in self.keys.tolist()]
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[self.keys >> np.uint64(44)] = True
-
-    def _seen(self, s: np.ndarray) -> np.ndarray:
-        """Which minima are in a set of shingles."""
-        if len(s) > 8 * len(self.keys):  # a document far larger than the index
-            s = np.sort(s)
-            at = np.minimum(np.searchsorted(s, self.keys), len(s) - 1)
-            return np.flatnonzero(s[at] == self.keys)
-        s = s[self.bits[s >> np.uint64(44)]]
-        at = np.minimum(np.searchsorted(self.keys, s), len(self.keys) - 1)
-        return np.unique(at[self.keys[at] == s])
-
-    def search(self, texts: list[str | None], percent: int) -> list[list[dict]]:
-        out: list[list[dict]] = [[] for _ in texts]
-        hashes = [word_hashes(plain_words(t)) for t in texts]
-        parts: dict[int, list[int]] = {}
-        for i, h in enumerate(hashes):
             if len(h):
-                parts.setdefault(len(h).bit_length(), []).append(i)
-        if not len(self.keys):
-            return out
-        for part in sorted(parts):
-            for i in parts[part]:
-                h = hashes[i]
-                for width in self.widths:
-                    if len(h) < width:
-                        continue
-                    s = windows(h, width)
-                    hits: dict[int, int] = {}
-                    for m in self._seen(s).tolist():
-                        for item in self.owners[m]:
-                            hits[item] = hits.get(item, 0) + 1
-                    likely = [x for x, n in hits.items() if self.sets[x][1] == width and 100 * n >= SEEN_PERCENT * self.n_minima[x]]
-                    if likely:
-                        s = np.unique(s)
-                        for x in likely:
-                            item, _, own = self.sets[x]
-                            at = np.minimum(np.searchsorted(s, own), len(s) - 1)
-                            if 100 * (n := int((s[at] == own).sum())) >= percent * len(own):
-                                out[i].append({"item_id": item, "n_shingles": len(own), "n_shared": n})
+                s = np.unique(windows(h, k))
+                low[len(self.ids)] = s[np.concatenate([(s[None, :] * a[j : j + 8, None] + b[j : j + 8, None]).argmin(axis=1) for j in range(0, MINIMA, 8)])]
+                self.ids.append(item)
+                self.sets.append(s)
+                width.append(min(k, len(h)))
+        self.low, self.width, self.size = low[: len(self.ids)], np.array(width, int), np.array([len(s) for s in self.sets], int)
+        self.parts = {w: self._part(np.flatnonzero(self.width == w)) for w in np.unique(self.width).tolist()}
+
+    def _part(self, own: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The sorted minima of some items, where the owners of each begin and end, the owners, the ranks that the
+        minima have with them, and which minima there may be, by their first bits."""
+        flat = self.low[own].ravel()
+        order = np.argsort(flat, kind="stable")
+        keys, start = np.unique(flat[order], return_index=True)
+        bits = np.zeros(1 << 20, bool)
+        bits[keys >> np.uint64(44)] = True
+        return keys, np.append(start, len(flat)), np.repeat(own, MINIMA)[order].astype(np.int32), np.tile(np.arange(MINIMA, dtype=np.int8), len(own))[order], bits
+
+    def _seen(self, s: np.ndarray, width: int) -> np.ndarray:
+        """The items of which a set of shingles holds as many minima as its size partition asks for."""
+        keys, start, owner, rank, bits = self.parts[width]
+        part = len(s).bit_length()
+        looked, least = settings(part, self.percent)
+        if len(s) > 8 * len(keys):  # a document far larger than the index
+            s = np.sort(s)
+            hit = np.flatnonzero(s[np.minimum(np.searchsorted(s, keys), len(s) - 1)] == keys)
+        else:
+            s = s[bits[s >> np.uint64(44)]]
+            place = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+            hit = np.unique(place[keys[place] == s])
+        if not len(hit):
+            return hit
+        at = np.concatenate([np.arange(start[x], start[x + 1]) for x in hit.tolist()])
+        at = at[(rank[at] < looked) & (self.percent * self.size[owner[at]] <= 100 * ((1 << part) - 1))]
+        found, times = np.unique(owner[at], return_counts=True)
+        return found[times >= least]
+
+    def candidates(self, h: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Items that a document's words may contain, with its set of shingles of their width."""
+        for width in self.parts:
+            if len(h) >= width:
+                s = windows(h, width)
+                if len(likely := self._seen(s, width)):
+                    s = np.unique(s)
+                    for x in likely.tolist():
+                        yield x, s
+
+    def search(self, hashes: list[np.ndarray]) -> list[list[dict]]:
+        """For each document, given as word hashes, the items that it contains."""
+        out: list[list[dict]] = [[] for _ in hashes]
+        for found, h in zip(out, hashes, strict=True):
+            for x, s in self.candidates(h):
+                own = self.sets[x]
+                place = np.minimum(np.searchsorted(s, own), len(s) - 1)
+                if 100 * (n := int((s[place] == own).sum())) >= self.percent * len(own):
+                    found.append({"item_id": self.ids[x], "n_shingles": len(own), "n_shared": n})
         return out
 
 
-def _blocks(benchmark: DataFrame, id: str, text: str) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame, id: str, text: str) -> Iterator[list[tuple[object, str]]]:
     """The benchmark in blocks of bounded size, one at a time; an item is never cut."""
-    block: list[tuple[int, str]] = []
+    block: list[tuple[object, str]] = []
     size = 0
-    for row in benchmark.where(F.col(text).isNotNull()).select(F.col(id).cast("bigint").alias("i"), F.col(text).alias("t")).distinct().toLocalIterator():
-        if size and size + len(row.t) > BLOCK_CHARS:
+    for row in benchmark.where(at(text).isNotNull()).select(at(id).alias("i"), at(text).alias("t")).distinct().toLocalIterator():
+        if size and size + len(row.t) + ITEM_CHARS > BLOCK_CHARS:
             yield block
             block, size = [], 0
         block.append((row.i, row.t))
-        size += len(row.t)
+        size += len(row.t) + ITEM_CHARS
     if block:
         yield block
 
@@ -120,32 +144,31 @@ def _blocks(benchmark: DataFrame, id: str, text: str) -> Iterator[list[tuple[int
 def find_benchmark(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Add items: the benchmark items of which a text contains at least the given percentage of shingles.
 
-    A column items in the input is replaced, all others are kept.
+    A struct of an item has item_id (of the benchmark's type), n_shingles and n_shared. A column items in the input is
+    replaced, all others are kept.
 
     Edge cases: a null or empty text contains nothing; null or wordless items are contained in nothing; an item with
     fewer than five words is one shingle, its whole sequence. Repeated rows get the same items; repeated items (same
-    id and text) count once, items with a null id are reported with a null. Empty tables on either side are fine.
+    id and text) count once, items with a null id are reported with a null. Items are in order of their ids' text,
+    nulls last. Empty tables on either side are fine.
     """
     spark = df.sparkSession
     kept = columns_but(df, ("items",))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema)
-    found = df.select(*kept).withColumn("items", F.expr(f"cast(array() as {ITEMS})"))
-    work = Work(spark, "decontam")
-    for k, block in enumerate(_blocks(benchmark, item_id, item_text)):
-        if k:  # one block is held at a time
-            found = work.table(found, f"pass-{k}")
-        held = share(spark, Index(block, width))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = shared(held)
-            for whole in batches:
-                for at in range(0, whole.num_rows, _ROWS):
-                    batch = whole.slice(at, _ROWS)
-                    new = index.search(batch.column(text).to_pylist(), percent)
-                    items = [old + sorted(n, key=lambda x: (x["item_id"] is None, x["item_id"] or 0)) for old, n in zip(batch.column("items").to_pylist(), new, strict=True)]
-                    kind = batch.schema.field("items").type
-                    names = batch.schema.names
-                    yield pa.RecordBatch.from_arrays([pa.array(items, kind) if n == "items" else c for n, c in zip(names, batch.columns, strict=True)], names=names)
-
-        found = found.mapInArrow(run, f"{ddl}, items {ITEMS}")
-    return found
+    kind = benchmark.schema[item_id].dataType.simpleString()
+    held = [share(spark, Index(block, width, percent)) for block in _blocks(benchmark, item_id, item_text)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [word_hashes(plain_words(t.as_py())) for t in batch.column(text)]
+            found: list[list[dict]] = [[] for _ in hashes]
+            for block in held:
+                for mine, new in zip(found, shared(block).search(hashes), strict=True):
+                    mine += new
+            for mine in found:
+                mine.sort(key=lambda x: (x["item_id"] is None, str(x["item_id"]).rjust(20)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(item))], names=[*kept, "items"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    item = pa.struct([("item_id", to_arrow_type(benchmark.schema[item_id].dataType)), ("n_shingles", pa.int64()), ("n_shared", pa.int64())])
+    return map_batches(df, kept, run, ("items", f"array<struct<item_id:{kind},n_shingles:bigint,n_shared:bigint>>"))

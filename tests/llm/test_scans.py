@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import decontam, langid, licenses
 from quillon.llm.shingles import word_hashes
@@ -128,3 +129,80 @@ def test_language_edges_and_switches(spark):
     nothing = langid.fit(df.limit(0))
     assert {x.lang_pred for x in langid.predict(docs(spark, ["a b"]), nothing).collect()} == {"und"}
     assert langid.predict(docs(spark, []), model).collect() == []
+
+
+def test_words_of_a_text_that_switches_are_labelled(spark):
+    rows = [(i, t, y) for i, (t, y) in enumerate([("the cat and the dog are in the house", "en"), ("le chat et le chien sont dans la maison", "fr")] * 30)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    given = ["The cat and the dog, le chat et le chien; the house is in the house", None, "12", "le chat"]
+    df = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string").withColumn("lang_spans", F.lit("clash")).withColumn("x.y", F.lit(1))
+    got = {r.doc_id: r for r in langid.predict(df, model, spans=True).collect()}
+    assert [tuple(s) for s in got[0].lang_spans] == [("en", 0, 5), ("fr", 5, 5), ("en", 10, 6)]
+    assert got[1].lang_spans == got[2].lang_spans == [] and [tuple(s) for s in got[3].lang_spans] == [("fr", 0, 2)]
+    plain = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(df, model).collect()}
+    assert plain == {i: (r.lang_pred, r.score) for i, r in got.items()} and got[0]["x.y"] == 1
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    """More languages than the sample has room for, one whose texts are all long, and an id that repeats very often."""
+    r = rng(41)
+    word = lambda k: f"q{k}w"
+    rows = [(i, f"{word(i % 230)} " * 12 + str(i), f"l{i % 230:03d}") for i in range(690)]
+    rows += [(10_000, " ".join(word(0) for _ in range(9)), "l000")] * 3000
+    rows += [(20_000 + i, "zulu ngiyabonga " * 2000 + f"{r.randrange(99)}", "zu") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "SAMPLE_TOTAL", 200)
+    picked = langid.sample(df, "doc_id", "text", "lang")
+    assert {y for _, y in picked} == {y for _, _, y in rows} and len(picked) == 231
+    assert max(len(t) for t, _ in picked) == langid.SAMPLE_CHARS
+    monkeypatch.setattr(langid, "SAMPLE_TOTAL", 4000)
+    some = [y for _, y in langid.sample(df, "doc_id", "text", "lang")]
+    assert all(some.count(f"l{k:03d}") == (4 if k == 0 else 3) for k in range(230)) and some.count("zu") == 3
+    assert langid.n_weights(5) == langid.n_weights(200) == langid.WEIGHTS and langid.n_weights(2000) * 2000 <= langid.ALL_WEIGHTS
+    assert len(langid.train([("a b", f"l{k}") for k in range(3)]).weights) == langid.WEIGHTS
+    monkeypatch.setattr(langid, "ALL_WEIGHTS", 1 << 17)
+    assert len(langid.train([("a b", f"l{k}") for k in range(3)]).weights) == 1 << 15
+
+
+def test_partitions_have_their_own_settings():
+    """More minima for longer documents, and a miss less likely than stated at the threshold, by the binomial's tail."""
+    import math
+
+    made = [decontam.settings(p, 80) for p in range(1, 30)]
+    assert made == sorted(made) and len(set(made)) > 5
+    for n, seen in made:
+        tail = lambda k: sum(math.comb(n, x) * 0.8**x * 0.2 ** (n - x) for x in range(k))
+        assert tail(seen) <= decontam.MISS and (seen == 1 or tail(seen + 1) > decontam.MISS)
+    items = [(1, prose(rng(1), 60, 10**6)), (2, prose(rng(2), 12, 10**6))]
+    index = decontam.Index(items, 5, 80)
+    whole = np.unique(np.concatenate(index.sets))
+    assert index._seen(whole[:0], 5).tolist() == []
+    assert index._seen(np.resize(whole, 31), 5).tolist() in ([], [1]) and set(index._seen(whole, 5).tolist()) == {0, 1}
+
+
+def test_recall_at_and_above_the_threshold():
+    """Candidates among documents of 30 to 30,000 words that contain 80 % or more of an item: 1.00 of 3,000."""
+    r = rng(51)
+    items = [(k, prose(r, r.choice([8, 14, 30, 60, 200]), 10**6)) for k in range(100)]
+    index = decontam.Index(items, 5, 80)
+    counted = 0
+    for _ in range(3000):
+        k = r.randrange(len(items))
+        ws = items[k][1].split(" ")
+        own = len(ws) - 4
+        keep = r.randrange(-(-own * 80 // 100), own + 1)  # shingles of the item that stay
+        start = r.randrange(own - keep + 1)
+        around = [f"d{r.randrange(10**6)}" for _ in range(r.choice([5, 50, 500, 500, 5000]))]
+        text = " ".join([*around, *ws[start : start + keep + 4], *around])
+        counted += k in [x for x, _ in index.candidates(word_hashes(decontam.plain_words(text)))]
+    assert counted == 3000
+
+
+def test_text_ids_of_items_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 40)
+    r = rng(52)
+    items = [("b", prose(r, 12, 900)), ("a", prose(r, 12, 900)), (None, prose(r, 12, 900))]
+    bench = spark.createDataFrame(items, "`the id` string, text string")
+    df = docs(spark, [f"{items[0][1]} x {items[1][1]} y {items[2][1]}", None]).withColumn("c d", F.lit(2))
+    got = {x.doc_id: x for x in decontam.find_benchmark(df, bench, item_id="the id").collect()}
+    assert [x.item_id for x in got[0]["items"]] == ["a", "b", None] and got[1]["items"] == [] and got[0]["c d"] == 2
