@@ -22,12 +22,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Work, columns_but, process_cache
+from .common import Work, at, columns_but, map_batches, packed, process_cache, unpacked
 
 #: Code points of a chunk, and how far it reaches into the next.
 CHUNK, OVERLAP = 65_536, 2_048
-#: A match is certain if at least so many characters follow it in the chunk: the pattern looks no further ahead.
-LOOKAHEAD = 3
+#: A match is certain if at least so many characters follow it in the chunk: the public pattern looks no further ahead.
+#: WHOLE is for patterns that may look ahead without a bound.
+LOOKAHEAD, WHOLE = 3, -1
 #: Pre-tokens of more bytes are merged with a heap, whose time doesn't grow with the square.
 LONG_PIECE = 4_096
 #: Rank files are broadcast; larger ones are refused.
@@ -38,9 +39,11 @@ _ROWS = 256
 class Coder:
     """The ranks and pattern of one vocabulary, in one process."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, lookahead: int = LOOKAHEAD):
         import tiktoken
 
+        self.lookahead = lookahead
+
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
         self.library = tiktoken.Encoding("quillon", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -98,7 +101,7 @@ def stitch(coder: Coder, text: str, starts: list[int], ends: list[list[int]], si
     at = 0
     for k, (start, own) in enumerate(zip(starts, ends, strict=True)):
         chunk_end = min(len(text), start + size + overlap)
-        sure = [start + e for e in own if chunk_end == len(text) or start + e <= chunk_end - LOOKAHEAD]
+        sure = [start + e for e in own if chunk_end == len(text) or start + e <= chunk_end - coder.lookahead]
         known = {start, *sure}
         stop = len(text) if k + 1 == len(starts) else starts[k + 1]
         if at >= stop:
@@ -120,20 +123,30 @@ def stitch(coder: Coder, text: str, starts: list[int], ends: list[list[int]], si
 
 
 def load_coder(shared: Broadcast) -> Coder:
-    raw, pattern = shared.value
-    cache, key = process_cache(), ("bpe", raw, pattern)
+    raw, pattern, lookahead = shared.value
+    cache, key = process_cache(), ("bpe", raw, pattern, lookahead)
     if key not in cache:
-        cache[key] = Coder({base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines()) if a}, pattern)
+        cache[key] = Coder({base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines()) if a}, pattern, lookahead)
     return cache[key]
 
 
-def share_vocabulary(spark: SparkSession, path: str, pattern: str) -> Broadcast:
-    """Broadcast a rank file that the driver can read, with its pattern."""
+def share_vocabulary(spark: SparkSession, path: str, pattern: str, lookahead: int | None = None) -> Broadcast:
+    """Broadcast a rank file that the driver can read, with its pattern.
+
+    lookahead: the characters behind its end that may decide on a match. The public pattern's is known; others must
+    state theirs, or WHOLE where a run of any length may decide (as in `\\s*[\\r\\n]+`): then no text is cut into chunks.
+    """
+    if lookahead is None:
+        import public_tokenizers
+
+        if pattern != public_tokenizers.PATTERN:
+            raise ValueError("say how far the pattern looks ahead, or WHOLE")
+        lookahead = LOOKAHEAD
     with open(path, "rb") as f:
         raw = f.read(MAX_VOCABULARY_BYTES + 1)
     if len(raw) > MAX_VOCABULARY_BYTES:
         raise ValueError(f"a vocabulary of more than {MAX_VOCABULARY_BYTES} bytes is not broadcast")
-    return spark.sparkContext.broadcast((raw, pattern))
+    return spark.sparkContext.broadcast((raw, pattern, lookahead))
 
 
 def _replaced(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -145,14 +158,12 @@ def _replaced(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordB
 def encode(df: DataFrame, vocabulary: Broadcast, text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """Add tokens (packed ids, binary) and n_tokens (bigint); columns of these names in the input are replaced.
 
-    Edge cases: a null or empty text has no tokens (empty, not null). Texts of any length are encoded whole. Repeated
-    rows are each encoded. An empty table gives an empty result.
+    Edge cases: a null or empty text has no tokens (empty, not null). Texts of any length are encoded whole; the pieces
+    of one text are stitched, and its ids joined, by one task. Repeated rows are each encoded. An empty table gives an
+    empty result.
     """
     kept = columns_but(df, ("tokens", "n_tokens"))
-    schema = df.select(*kept).schema
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    out = f"{ddl}{', ' if ddl else ''}tokens binary, n_tokens bigint"
-    size = F.char_length(F.coalesce(F.col(text), F.lit("")))
+    size = F.char_length(F.coalesce(at(text), F.lit("")))
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load_coder(vocabulary)
@@ -162,9 +173,11 @@ def encode(df: DataFrame, vocabulary: Broadcast, text: str = "text", chunk: int
                 packed = [coder.encode(t).tobytes() if t else b"" for t in batch.column(text).to_pylist()]
                 yield _replaced(batch, {"tokens": pa.array(packed, pa.binary()), "n_tokens": pa.array([len(p) // 4 for p in packed], pa.int64())})
 
-    rows = df.select(*kept)
-    near = rows.where(size <= chunk).mapInArrow(short, out)
-    return near.select(*kept, "tokens", "n_tokens").unionByName(_encode_long(rows.where(size > chunk), vocabulary, text, chunk, overlap).select(*kept, "tokens", "n_tokens"))
+    rows = df.select(*map(at, kept))
+    if vocabulary.value[2] == WHOLE:
+        return map_batches(rows, kept, short, ("tokens", "binary"), ("n_tokens", "bigint"))
+    near = map_batches(rows.where(size <= chunk), kept, short, ("tokens", "binary"), ("n_tokens", "bigint"))
+    return near.unionByName(_encode_long(rows.where(size > chunk), vocabulary, text, chunk, overlap))
 
 
 def _encode_long(df: DataFrame, vocabulary: Broadcast, text: str, chunk: int, overlap: int) -> DataFrame:
@@ -174,9 +187,10 @@ def _encode_long(df: DataFrame, vocabulary: Broadcast, text: str, chunk: int, ov
     unique row numbers first, so that every later plan sees the same numbers.
     """
     kept = df.columns
-    rows = Work(df.sparkSession, "bpe").table(df.withColumn("__row", F.monotonically_increasing_id()), "long")
-    starts = F.sequence(F.lit(0), F.char_length(text) - 1, F.lit(chunk))
-    cut = rows.select("__row", F.col(text).alias("__t"), F.posexplode(starts).alias("__k", "__start"))
+    numbered = df.select(packed(kept), at(text).alias("__text"), F.monotonically_increasing_id().alias("__row"))
+    rows = Work(df.sparkSession, "bpe").table(numbered, "long")
+    starts = F.sequence(F.lit(0), F.char_length("__text") - 1, F.lit(chunk))
+    cut = rows.select("__row", F.col("__text").alias("__t"), F.posexplode(starts).alias("__k", "__start"))
     cut = cut.select("__row", "__k", F.expr(f"substring(__t, __start + 1, {chunk + overlap})").alias("__part"))
 
     def pre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +233,7 @@ def _encode_long(df: DataFrame, vocabulary: Broadcast, text: str, chunk: int, ov
         return pa.table({"__row": pa.array([key[0].as_py()], pa.int64()), "tokens": pa.array([packed], pa.binary()), "n_tokens": pa.array([len(packed) // 4], pa.int64())})
 
     joined = coded.groupBy("__row").applyInArrow(whole, "__row bigint, tokens binary, n_tokens bigint")
-    return rows.join(joined, "__row").select(*kept, "tokens", "n_tokens")
+    return rows.join(joined, "__row").select(*unpacked(kept), "tokens", "n_tokens")
 
 
 def decode(df: DataFrame, vocabulary: Broadcast, tokens: str = "tokens") -> DataFrame:
@@ -228,7 +242,6 @@ def decode(df: DataFrame, vocabulary: Broadcast, tokens: str = "tokens") -> Data
     A column decoded in the input is replaced. The bytes need not be valid UTF-8 where ids were cut or made up.
     """
     kept = columns_but(df, ("decoded",))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load_coder(vocabulary)
@@ -238,4 +251,4 @@ def decode(df: DataFrame, vocabulary: Broadcast, tokens: str = "tokens") -> Data
                 raw = [None if p is None else coder.decode(p) for p in batch.column(tokens).to_pylist()]
                 yield _replaced(batch, {"decoded": pa.array(raw, pa.binary())})
 
-    return df.select(*kept).mapInArrow(run, f"{ddl}, decoded binary")
+    return map_batches(df, kept, run, ("decoded", "binary"))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work, columns_but, pinned, spread_join
+from .common import Work, at, columns_but, packed, pinned, spread_join, unpacked
 
 #: Lines of a window.
 WINDOW = 3
@@ -33,15 +33,15 @@ def _full(lines: Column) -> Column:
 
 
 def _row_key(id: str, text: str) -> list[Column]:
-    return [F.xxhash64(F.col(id), F.col(text)).alias("__k1"), F.xxhash64(F.lit(1), F.col(text), F.col(id)).alias("__k2")]
+    return [F.xxhash64(at(id), at(text)).alias("__k1"), F.xxhash64(F.lit(1), at(text), at(id)).alias("__k2")]
 
 
 def window_rows(df: DataFrame, id: str, text: str, window: int = WINDOW) -> DataFrame:
     """(h1, h2, id, __k1, __k2, pos): one row a window; pos counts lines that aren't blank."""
-    lines = F.filter(F.transform(_lines(F.col(text)), lambda x: F.btrim(x, F.lit(_BLANKS))), lambda x: x != "")
-    d = pinned(df, F.col(id).alias("id"), *_row_key(id, text), lines.alias("ls")).where(F.size("ls") >= window)
-    at = lambda i: [F.get(F.col("ls"), i + j) for j in range(window)]
-    hashes = F.transform(F.sequence(F.lit(0), F.size("ls") - window), lambda i: F.struct(F.xxhash64(*at(i)).alias("h1"), F.xxhash64(F.lit(1), *at(i)).alias("h2")))
+    lines = F.filter(F.transform(_lines(at(text)), lambda x: F.btrim(x, F.lit(_BLANKS))), lambda x: x != "")
+    d = pinned(df, at(id).alias("id"), *_row_key(id, text), lines.alias("ls")).where(F.size("ls") >= window)
+    near = lambda i: [F.get(F.col("ls"), i + j) for j in range(window)]
+    hashes = F.transform(F.sequence(F.lit(0), F.size("ls") - window), lambda i: F.struct(F.xxhash64(*near(i)).alias("h1"), F.xxhash64(F.lit(1), *near(i)).alias("h2")))
     return d.select("id", "__k1", "__k2", F.posexplode(hashes).alias("pos", "h")).select(F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"), "id", "__k1", "__k2", "pos")
 
 
@@ -65,14 +65,14 @@ def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", window: i
     total = covered.agg(F.coalesce(F.sum(F.size("__pos") + 4), F.lit(0))).first()[0]
     out = ("n_lines", "n_removed")
     kept = columns_but(df, out)
-    docs = df.select(*kept, *_row_key(id, text))
+    docs = df.select(packed(kept), at(text).alias("__t"), *_row_key(id, text))
     docs = docs.join(F.broadcast(covered) if total <= BROADCAST_POSITIONS else covered, ["__k1", "__k2"], "left")
     hit = F.col("__pos").isNotNull()
-    docs = pinned(docs, *kept, "__pos", _lines(F.col(text)).alias("__lines"), F.when(hit, _full(_lines(F.col(text)))).alias("__full"))
+    docs = pinned(docs, "__in", "__t", "__pos", _lines(F.col("__t")).alias("__lines"), F.when(hit, _full(_lines(F.col("__t")))).alias("__full"))
     gone = F.array_distinct(F.flatten(F.transform("__pos", lambda p: F.slice(F.col("__full"), p + 1, window))))
-    docs = pinned(docs, *kept, "__lines", F.when(hit, gone).alias("__gone"))
+    docs = pinned(docs, "__in", "__t", "__lines", F.when(hit, gone).alias("__gone"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     joined = F.array_join(F.transform(stay, lambda i: F.get(F.col("__lines"), i)), "\n")
-    clean = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(joined)
-    n = F.when(F.col(text).isNull(), 0).otherwise(F.size("__lines")).cast("bigint")
-    return pinned(docs, *[clean.alias(c) if c == text else F.col(c) for c in kept], n.alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias("n_removed"))
+    clean = F.when(F.col("__gone").isNull(), F.col("__t")).otherwise(joined)
+    n = F.when(F.col("__t").isNull(), 0).otherwise(F.size("__lines")).cast("bigint")
+    return pinned(docs, *[clean.alias(c) if c == text else x for c, x in zip(kept, unpacked(kept), strict=True)], n.alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias("n_removed"))

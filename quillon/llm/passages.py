@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work, columns_but, spread_join
+from .common import Work, at, columns_but, map_batches, packed, spread_join, unpacked, unused
 from .line_dedup import BROADCAST_POSITIONS, _row_key
 from .shingles import mix, windows, word_hashes
 
@@ -133,7 +133,7 @@ def dedup_passages(df: DataFrame, id: str = "doc_id", text: str = "text", passag
         raise ValueError("an anchor has from one word to a passage's")
     work = Work(df.sparkSession, "passages")
     kind = df.schema[id].dataType.simpleString()
-    keyed = df.select(F.col(id).alias("id"), _row_key(id, text)[0], F.col(text).alias("t"))
+    keyed = df.select(at(id).alias("id"), _row_key(id, text)[0], at(text).alias("t"))
     place = F.struct("id", "__k1", "pos")
     found = work.table(keyed.mapInArrow(_block_rows(passage, anchor), f"g long, whole long, odd boolean, pos int, n int, id {kind}, __k1 long"), "blocks")
     twice = found.groupBy("g").agg(F.count("*").alias("times"), (F.max("odd") | (F.min("whole") != F.max("whole"))).alias("mixed"), F.min(place).alias("first")).where("times > 1 OR mixed")
@@ -158,18 +158,19 @@ def dedup_passages(df: DataFrame, id: str = "doc_id", text: str = "text", passag
         work.drop(name)
 
     kept = columns_but(df, ("n_words", "n_cut"))
-    docs = joined(df.select(*kept, _row_key(id, text)[0]), id, covered, "__pos", "left").select(*kept, "__pos")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema)
+    docs = joined(df.select(packed(kept), at(id).alias("id"), _row_key(id, text)[0]), "id", covered, "__pos", "left")
+    pos = unused(df, "__pos")
+    docs = docs.select(*unpacked(kept), F.col("__pos").alias(pos))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, words, cut = b.column(text).to_pylist(), [], []
-            for i, (t, pos) in enumerate(zip(texts, b.column("__pos").to_pylist(), strict=True)):
+            for i, (t, held) in enumerate(zip(texts, b.column(pos).to_pylist(), strict=True)):
                 words.append(len(t.encode().split()) if t else 0)
-                if pos:
-                    texts[i], n = _cut(t, pos, passage)
-                cut.append(n if pos else 0)
+                if held:
+                    texts[i], n = _cut(t, held, passage)
+                cut.append(n if held else 0)
             columns = [pa.array(texts, b.column(text).type) if c == text else b.column(c) for c in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(words, pa.int64()), pa.array(cut, pa.int64())], names=[*kept, "n_words", "n_cut"])
+            yield pa.RecordBatch.from_arrays([*columns, b.column(pos), pa.array(words, pa.int64()), pa.array(cut, pa.int64())], names=[*kept, pos, "n_words", "n_cut"])
 
-    return docs.mapInArrow(run, f"{ddl}, n_words bigint, n_cut bigint")
+    return map_batches(docs, [*kept, pos], run, ("n_words", "bigint"), ("n_cut", "bigint")).drop(pos)

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_but
+from .common import at, columns_but, packed, unpacked
 
 #: Slots of the production table: a prime, some hundred times the number of shards or more.
 SLOTS = 65_537
@@ -69,8 +69,8 @@ def assign_shards(df: DataFrame, key: str = "doc_id", shards: Sequence[str] = SH
     placement by key means, and no task gathers them. An empty table gives an empty result.
     """
     kept = columns_but(df, ("slot", "shard"))
-    text = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    text = F.coalesce(at(key).cast("string"), F.lit(""))
     slot = F.pmod(F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(slots)).cast("bigint")
-    placed = df.select(*kept, slot.alias("slot"))
+    placed = df.select(packed(kept), slot.alias("slot"))
     table = table_frame(df.sparkSession, shards, slots)
-    return placed.join(F.broadcast(table), "slot", "left").select(*kept, "slot", "shard")
+    return placed.join(F.broadcast(table), "slot", "left").select(*unpacked(kept), "slot", "shard")

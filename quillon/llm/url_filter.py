@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import columns_but, lower_ascii
+from .common import at, columns_but, lower_ascii, packed, unpacked
 
 #: Rule indexes up to this many rules are broadcast (some 200 bytes each); larger ones are joined by a shuffle.
 MAX_BROADCAST_RULES = 200_000
@@ -110,7 +110,7 @@ def _tokens(url):
 
 def token_counts(df: DataFrame, tokens: Sequence[str], url: str = "url") -> dict[str, int]:
     """How many URLs hold each of the given tokens; counted over all rows, the result is as small as the token list."""
-    found = df.select(F.explode(_tokens(F.col(url))).alias("token")).where(F.col("token").isin(list(tokens)))
+    found = df.select(F.explode(_tokens(at(url))).alias("token")).where(F.col("token").isin(list(tokens)))
     return {r[0]: r[1] for r in found.groupBy("token").count().collect()}
 
 
@@ -150,11 +150,11 @@ def filter_urls(df: DataFrame, prefix_rules: Sequence[UrlRule] = PREFIX_RULES, p
         index, said = F.broadcast(index), F.broadcast(said)
     out = ("host", "path", "rule", "pattern", "verdict")
     kept = columns_but(df, out)
-    host, path = _parts(F.col(url))
-    rows = df.select(F.monotonically_increasing_id().alias("__row"), F.struct(*kept).alias("__in") if kept else F.struct(F.lit(None).alias("none")).alias("__in"), F.col(url).alias("__url"), host.alias("host"), path.alias("path"))
+    host, path = _parts(at(url))
+    rows = df.select(F.monotonically_increasing_id().alias("__row"), packed(kept), at(url).alias("__url"), host.alias("host"), path.alias("path"))
     tokens = rows.select("*", F.explode(_tokens(F.col("__url"))).alias("token"))
     fits = (F.col("__rank") == 0) | F.expr("coalesce(CASE WHEN __on_parts THEN concat(host, path) ELSE coalesce(__url, '') END rlike __regex, false)")
     hits = tokens.join(index, "token").where(fits)
     best = hits.groupBy("__row").agg(F.first("__in").alias("__in"), F.first("host").alias("host"), F.first("path").alias("path"), F.max("__rank").alias("__rank"))
     judged = best.join(said, "__rank", "left")
-    return judged.select(*[F.col("__in")[c].alias(c) for c in kept], "host", "path", "rule", "pattern", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    return judged.select(*unpacked(kept), "host", "path", "rule", "pattern", F.coalesce("verdict", F.lit(default)).alias("verdict"))

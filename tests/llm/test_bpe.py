@@ -55,3 +55,14 @@ def test_long_pieces_merge_as_the_library(library):
     for n in (1, 2, 3, 50, 700):
         piece = "".join(r.choice("aenrst") for _ in range(n)).encode()
         assert coder._merge_long(piece) == library.encode_ordinary(piece.decode())
+
+
+def test_patterns_that_look_far_ahead(spark, library):
+    pattern = r"\s*[\r\n]+|\s+|\S+"
+    with pytest.raises(ValueError, match="looks ahead"):
+        bpe.share_vocabulary(spark, PATH, pattern)
+    given = ["a" + " " * 500 + "\n" + "b " * 90, " " * 300, "x\n\n y"]
+    own = tiktoken.Encoding("o", pat_str=pattern, mergeable_ranks=library._mergeable_ranks, special_tokens={})
+    v = bpe.share_vocabulary(spark, PATH, pattern, bpe.WHOLE)
+    rows = bpe.encode(docs(spark, given), v, chunk=64, overlap=16).collect()
+    assert {r.doc_id: np.frombuffer(r.tokens, "<u4").tolist() for r in rows} == {i: own.encode_ordinary(t) for i, t in enumerate(given)}
