@@ -1,7 +1,8 @@
 """A corpus pipeline: quality rules, line dedup, near-dedup, benchmark decontamination, byte-level BPE.
 
 Each stage reads what the one before it wrote and returns a DataFrame; all but the last return the columns of
-documents, with the texts and rows that their decisions leave.
+documents, with the texts and rows that their decisions leave. No other column is carried. Empty tables on either side
+give empty tables of the same columns, rows may repeat, and texts are read whole whatever their length.
 """
 
 from __future__ import annotations
@@ -16,31 +17,45 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go, the others keep the lines that pass; n_chars follows the text."""
+    """Rejected documents go, the others keep the lines that pass; n_chars follows the text.
+
+    A null, empty or short text (fewer than 50 words) is rejected. Repeated rows are judged alike; ids don't matter.
+    """
     judged = quality.apply_quality(docs).where("kept").withColumn("text", F.col("clean_text"))
     return judged.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*COLUMNS)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of three-line windows go; a document that loses all its text this way goes with them."""
+    """Later occurrences of three-line windows go; a document that loses all its text this way goes with them.
+
+    The occurrence in the least id comes first, a null id before all; rows with one id and text are one document and
+    lose the same. A null or blank text has no windows and stays.
+    """
     clean = line_dedup.dedup_lines(docs)
     left = clean.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near-duplicates stays: five-word shingles, similarity of 0.8 or more.
+
+    That of the least id stays. Rows that share an id are one document, of which one row stays. Documents without words,
+    and all rows with a null id, stay.
+    """
     return minhash.drop_near_duplicates(docs, k=5, percent=80).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go: four fifths of its five-word shingles, anywhere in the text.
+
+    Null texts and wordless items contain nothing and are in nothing. Repeated rows go or stay together.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontam.find_benchmark(docs, benchmark).where(F.size("items") == 0).select(*COLUMNS)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, packed, and whether they decode to the text again."""
+    """Token ids of every text, packed, and whether they decode to the text again. A null text has no tokens."""
     import public_tokenizers
 
     vocabulary = bpe.share_vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
