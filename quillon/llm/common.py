@@ -107,11 +107,16 @@ def unused(df: DataFrame, name: str) -> str:
 
 def packed(names) -> Column:
     """The named columns as one struct __in, so that an operator's own names can't clash with them."""
-    return (F.struct(*map(at, names)) if names else F.struct(F.lit(None).alias("none"))).alias("__in")
+    return (F.struct(*map(at, dict.fromkeys(names))) if names else F.struct(F.lit(None).alias("none"))).alias("__in")
+
+
+def inside(name: str) -> Column:
+    """A column of the struct."""
+    return F.col("__in").getField(name)
 
 
 def unpacked(names) -> list[Column]:
-    return [F.col("__in").getField(c).alias(c) for c in names]
+    return [inside(c).alias(c) for c in names]
 
 
 def map_batches(df: DataFrame, names, run, *fields: tuple[str, str]) -> DataFrame:
@@ -131,7 +136,17 @@ def map_batches(df: DataFrame, names, run, *fields: tuple[str, str]) -> DataFram
             yield pa.RecordBatch.from_arrays(out.columns, names=plain)
 
     given = df.select(*[at(c).alias(p) for p, c in zip(plain, names, strict=False)])
-    return given.mapInArrow(renamed, made).toDF(*names, *new)
+    return given.mapInArrow(freeing(renamed), made).toDF(*names, *new)
+
+
+def freeing(run):
+    """A function on batches that gives what Arrow holds back to the system at its end; workers outlive their tasks."""
+
+    def all_then_free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return all_then_free
 
 
 def pinned(df: DataFrame, *cols) -> DataFrame:

@@ -6,10 +6,10 @@
    in a group of edited copies is close to the unedited text.
 3. Every class is held against the leader that it shares most buckets with, then against its other leaders, where they
    are not yet in one component: signatures first, then the full sets.
-4. Buckets that still hold more than one component are worked through whole: those of up to SMALL members by
-   signatures, whose candidates are then verified on the full sets; larger ones in blocks of members with their sets,
-   by inverted lists inside a block pair. So no pair that shares a bucket goes unseen, yet pairs are only written out if
-   they are likely, and links only if they join components.
+4. Buckets that still hold more than one component are worked through whole, whatever their size, in blocks of bounded
+   size: signatures find the members that may be linked with another component; those members meet again with their
+   full sets. A pair counts in the lowest band that it shares only, and a link is written out only if it joins two
+   components that the task hasn't joined, so a bucket gives fewer rows than it has members. No pair is written out.
 
 The number of bands is chosen for a chance below MISS to lose a pair at the threshold itself.
 """
@@ -22,18 +22,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Work, join_ids, spread_join
+from .common import Work, at, freeing, join_ids, spread_join, unused
 from .components import components
 from .shingles import minima, mix, overlap, shingle_set, universal
 
 #: Minima of a band, and the chance to lose a pair at the threshold.
 ROWS, MISS = 5, 1e-8
-#: Buckets above this size are worked through with full sets in blocks of so many members or shingles.
-SMALL, BLOCK_MEMBERS, BLOCK_SHINGLES = 192, 2_048, 2_000_000
-_OUT = 256
+#: Signatures of a bucket are compared in blocks of so many members, which grow beyond so many blocks: each block is
+#: copied once for each other one. Full sets are compared in blocks of so many shingles, of members that may be linked.
+BLOCK_MEMBERS, MAX_BLOCKS, BLOCK_SHINGLES = 1_024, 32, 2_000_000
+_OUT, _CHUNK = 256, 1 << 16
 
 
 def n_bands(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -58,6 +60,15 @@ class _Plan:
         return 100 * common >= self.percent * (n + m - common)
 
 
+    def band_keys(self, low: np.ndarray) -> np.ndarray:
+        """The keys of all bands, given the minima; no two bands have a key in common."""
+        m = low.reshape(self.bands, self.rows)
+        key = np.arange(1, self.bands + 1, dtype=np.uint64)
+        for j in range(self.rows):
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + m[:, j])
+        return key.view(np.int64)
+
+
 def _binary(xs: list) -> pa.Array:
     return pa.array(xs, pa.binary())
 
@@ -76,14 +87,10 @@ def _sketch(docs: DataFrame, plan: _Plan) -> DataFrame:
                         bands.append(None)
                         continue
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    m = minima(s, plan.a, plan.b).reshape(plan.bands, plan.rows)
-                    key = np.arange(1, plan.bands + 1, dtype=np.uint64)
-                    for j in range(plan.rows):
-                        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + m[:, j])
-                    bands.append(key.view(np.int64))
+                    bands.append(plan.band_keys(minima(s, plan.a, plan.b)))
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), _binary(keys), pa.array(bands, pa.list_(pa.int64()))], names=["id", "n", "key", "bands"])
 
-    return docs.mapInArrow(run, "id bigint, n bigint, key binary, bands array<bigint>")
+    return docs.mapInArrow(freeing(run), "id bigint, n bigint, key binary, bands array<bigint>")
 
 
 def _sets(docs: DataFrame, plan: _Plan) -> DataFrame:
@@ -91,17 +98,19 @@ def _sets(docs: DataFrame, plan: _Plan) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, _OUT):
                 batch = whole.slice(at, _OUT)
-                ids, n, sig, sets = [], [], [], []
+                ids, n, sig, bands, sets = [], [], [], [], []
                 for i, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
                     s = shingle_set(text.as_py(), plan.k)
                     if len(s):
                         ids.append(i)
                         n.append(len(s))
-                        sig.append((minima(s, plan.a, plan.b) >> np.uint64(40)).astype(np.uint8).tobytes())
+                        low = minima(s, plan.a, plan.b)
+                        sig.append((low >> np.uint64(40)).astype(np.uint8).tobytes())
+                        bands.append(plan.band_keys(low).tobytes())
                         sets.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), _binary(sig), _binary(sets)], names=["id", "n", "sig", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), _binary(sig), _binary(bands), _binary(sets)], names=["id", "n", "sig", "bands", "set"])
 
-    return docs.mapInArrow(run, "id bigint, n bigint, sig binary, set binary")
+    return docs.mapInArrow(freeing(run), "id bigint, n bigint, sig binary, bands binary, set binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, plan: _Plan) -> DataFrame:
@@ -122,106 +131,119 @@ def _verified(pairs: DataFrame, sets: DataFrame, plan: _Plan) -> DataFrame:
                     v.append(b["hub"][i].as_py())
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return both.select("id", "sig1", "set1", "hub", "sig2", "set2").mapInArrow(run, "u bigint, v bigint")
+    return both.select("id", "sig1", "set1", "hub", "sig2", "set2").mapInArrow(freeing(run), "u bigint, v bigint")
+
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows in tables that part no group of equal keys, and for each row where its group ends."""
+
+    def made(held: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        new = np.zeros(t.num_rows + 1, bool)
+        new[-1] = True
+        for k in keys:
+            c = t[k].to_numpy()
+            new[1:-1] |= c[1:] != c[:-1]
+        ends = np.flatnonzero(new)
+        return t, np.repeat(ends, np.diff(ends, prepend=0))
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Consecutive rows with the same keys, across batches."""
     held: list[pa.RecordBatch] = []
-    last = None
     for b in batches:
         if not b.num_rows:
             continue
         cols = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        cut = np.zeros(b.num_rows, bool)
-        for c in cols:
-            cut[1:] |= c[1:] != c[:-1]
-        starts = [0, *np.flatnonzero(cut).tolist(), b.num_rows]
-        for s, e in zip(starts, starts[1:]):
-            now = tuple(c[s] for c in cols)
-            if held and now != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(b.slice(s, e - s))
-            last = now
+        other = np.flatnonzero(np.logical_or.reduce([c != c[-1] for c in cols]))
+        cut = int(other[-1]) + 1 if len(other) else 0  # where the last group begins
+        if cut:
+            yield made([*held, b.slice(0, cut)])
+            held = []
+        elif held and any(held[-1].column(k)[-1].as_py() != b.column(k)[0].as_py() for k in keys):
+            yield made(held)
+            held = []
+        held.append(b.slice(cut))
     if held:
-        yield pa.Table.from_batches(held)
+        yield made(held)
+
+
+def _matrix(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def _likely(t: pa.Table, ends: np.ndarray, plan: _Plan) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group, of different components, whose signatures agree; each pair of blocks has its own."""
+    comp, block, same = t["comp"].to_numpy(), t["block"].to_numpy(), t["i"].to_numpy() == t["j"].to_numpy()
+    sig = _matrix(t["sig"], np.uint8)
+    x, d = np.arange(t.num_rows), 1
+    while len(x := x[x + d < ends[x]]):
+        y = x + d
+        ok = (comp[x] != comp[y]) & (same[x] | (block[x] != block[y]))
+        u, v = x[ok], y[ok]
+        for k in range(0, len(u), _CHUNK):
+            p, q = u[k : k + _CHUNK], v[k : k + _CHUNK]
+            hit = (sig[p] == sig[q]).sum(axis=1) >= plan.agree
+            if hit.any():
+                yield p[hit], q[hit]
+        d += 1
+
+
+def _blocks(members: DataFrame, parts: Column, sets: DataFrame) -> DataFrame:
+    """Members of each band key with columns of sets, dealt by pairs of blocks; members has band, id, comp.
+
+    The sets are fetched once for each id rather than for each bucket; an id has no more buckets than there are bands.
+    """
+    b = members.withColumn("parts", parts.cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    by_id = b.groupBy("id", "comp").agg(F.collect_list(F.struct("band", "block", "parts")).alias("places"))
+    rows = spread_join(by_id, sets, "id", "inner").withColumn("place", F.explode("places")).drop("places").select("*", "place.band", "place.block", "place.parts")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    keys = ["band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "comp"]
+    return rows.select(*keys, *sets.columns).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
 
 
-def _likely(members: DataFrame, plan: _Plan) -> DataFrame:
-    """Pairs of different components in one bucket whose signatures agree; members has band, id, comp, sig."""
+def _partners(blocks: DataFrame, plan: _Plan) -> DataFrame:
+    """(band, id, comp) of the members that may be linked with a member of another component, by signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, ["band"]):
-            ids, comps = t["id"].to_numpy(), t["comp"].to_numpy()
-            sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(ids), -1)
-            u, v = [], []
-            for i in range(len(ids) - 1):
-                hit = np.flatnonzero((comps[i + 1 :] != comps[i]) & ((sig[i + 1 :] == sig[i]).sum(axis=1) >= plan.agree)) + i + 1
-                u += [int(ids[i])] * len(hit)
-                v += ids[hit].tolist()
-            if u:
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["id", "hub"])
+        for t, ends in _whole_groups(batches, ["band", "i", "j"]):
+            hit = np.zeros(t.num_rows, bool)
+            for x, y in _likely(t, ends, plan):
+                hit[x] = hit[y] = True
+            if hit.any():
+                yield from t.select(["band", "id", "comp"]).filter(pa.array(hit)).combine_chunks().to_batches()
 
-    dealt = members.repartition("band").sortWithinPartitions("band")
-    return dealt.mapInArrow(run, "id bigint, hub bigint")
+    return blocks.mapInArrow(freeing(run), "band bigint, id bigint, comp bigint")
 
 
-def _across(blocks: DataFrame, plan: _Plan) -> DataFrame:
-    """Links between components within block pairs; blocks has band, i, j, block, id, comp, set."""
+def _joining(blocks: DataFrame, plan: _Plan) -> DataFrame:
+    """Links (u, v), verified on the full sets, that join components; blocks has sig, bands and set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, ["band", "i", "j"]):
-            ids, block = t["id"].to_numpy(), t["block"].to_numpy()
-            values, comps = np.unique(t["comp"].to_numpy(), return_inverse=True)
-            if len(values) < 2:
-                continue
-            root = list(range(len(values)))
-
-            def find(c: int, root: list[int] = root) -> int:
-                while root[c] != c:
-                    root[c] = root[root[c]]
-                    c = root[c]
-                return c
-
-            sets = [np.frombuffer(s, np.uint64) for s in t["set"].to_pylist()]
-            sizes = np.array([len(s) for s in sets])
-            owner = np.repeat(np.arange(len(sets)), sizes)
-            _, of, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-            lists = owner[np.argsort(of, kind="stable")]
-            starts = np.concatenate([[0], np.cumsum(count)])
-            ends = np.cumsum(sizes)
-            most = np.bincount(comps).argmax()
-            same = bool((t["i"][0].as_py()) == t["j"][0].as_py())
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = root.get(up, up)
+                c = up
+            return c
+
+        for t, ends in _whole_groups(batches, ["band", "i", "j"]):
+            band, comp, ids, bands = t["band"].to_numpy(), t["comp"].to_numpy(), t["id"].to_numpy(), _matrix(t["bands"], np.int64)
+            sets = t["set"].combine_chunks()
+            of = lambda i, sets=sets: np.frombuffer(sets[i].as_buffer(), np.uint64)
             u, v = [], []
-            for x in np.flatnonzero(comps != most):
-                mine = of[ends[x] - sizes[x] : ends[x]]
-                mine = mine[count[mine] > 1]
-                if not len(mine):
-                    continue
-                common = np.bincount(np.concatenate([lists[starts[g] : starts[g + 1]] for g in mine]), minlength=len(sets))
-                ok = plan.linked(common, sizes[x], sizes) & (comps != comps[x])
-                if not same:
-                    ok &= block != block[x]
-                for y in np.flatnonzero(ok):
-                    if (p := find(comps[x])) != (q := find(comps[y])):
-                        root[p] = q
-                        u.append(int(ids[x]))
-                        v.append(int(ids[y]))
+            for x, y in _likely(t, ends, plan):
+                lowest = bands[x, (bands[x] == bands[y]).argmax(axis=1)] == band[x]
+                for i, j in zip(x[lowest].tolist(), y[lowest].tolist(), strict=True):
+                    if (p := find(int(comp[i]))) == (q := find(int(comp[j]))):
+                        continue
+                    a, b = of(i), of(j)
+                    if plan.linked(overlap(a, b), len(a), len(b)):
+                        root[max(p, q)] = min(p, q)
+                        u.append(int(ids[i]))
+                        v.append(int(ids[j]))
             if u:
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    dealt = blocks.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    return dealt.mapInArrow(run, "u bigint, v bigint")
-
-
-def _with_sets(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(band, id, comp) with the columns of sets, which are fetched once for each id rather than for each bucket.
-
-    An id has no more buckets than there are bands.
-    """
-    by_id = members.groupBy("id", "comp").agg(F.collect_list("band").alias("bands"))
-    return spread_join(by_id, sets, "id", "inner").withColumn("band", F.explode("bands")).drop("bands")
+    return blocks.mapInArrow(freeing(run), "u bigint, v bigint")
 
 
 def _labelled(df: DataFrame, labels: DataFrame, key: str, out: str) -> DataFrame:
@@ -247,10 +269,18 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", k: in
     Edge cases: a document without words (or a null text) has an empty set and is linked with nothing. A null id takes
     no part: its component is null and it is kept. Rows that share an id are one document: they share a component,
     and each is returned. An empty table gives an empty result. Other columns are left out. Texts are used whole.
+    Ids may be of any type that sorts; those that aren't whole numbers are numbered in order first, which shuffles the
+    texts once. Sets are compared by 128-bit and shingles by 64-bit hashes.
     """
     spark = df.sparkSession
     work, plan = Work(spark, "minhash"), _Plan(k, percent, rows)
-    docs = df.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
+    docs = df.select(at(id).alias("id"), at(text).alias("text"))
+    names = None
+    if not isinstance(df.schema[id].dataType, T.IntegralType):
+        order = docs.where("id IS NOT NULL").select("id").distinct().orderBy("id")
+        names = work.table(order.select(F.monotonically_increasing_id().alias("__n"), "id"), "names")
+        docs = spread_join(docs, names, "id", "left").select(F.col("__n").alias("id"), "text")
+    docs = docs.select(F.col("id").cast("bigint").alias("id"), "text")
     sketch = work.table(_sketch(docs, plan), "sketch")
     taking = sketch.where("n > 0 AND id IS NOT NULL")
     classes = work.table(taking.groupBy("key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes")
@@ -285,22 +315,21 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", k: in
     known = _labelled(members, labels, "id", "comp")
     mixed = known.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
     mixed = work.table(spread_join(known, mixed, "band", "inner").select("band", "id", "size", "comp"), "mixed")
-    small = _with_sets(mixed.where(F.col("size") <= SMALL), sets.select("id", "sig"))
-    likely = work.table(_likely(small, plan).select(F.least("id", "hub").alias("id"), F.greatest("id", "hub").alias("hub")).distinct(), "likely")
-    links = _verified(likely, sets, plan)
-    large = _with_sets(mixed.where(F.col("size") > SMALL), sets.select("id", "n", "set"))
-    weights = work.table(large.groupBy("band").agg(F.count("*").alias("rows"), F.sum("n").alias("all")), "weights")
-    parts = F.greatest(F.ceil(F.col("rows") / BLOCK_MEMBERS), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int")
-    blocks = spread_join(large, weights.select("band", parts.alias("parts")), "band", "inner").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    blocks = blocks.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp", "set")
-    labels = _merged(labels, work.table(links.unionByName(_across(blocks, plan)), "links-3"), work, "third")
+    parts = F.least(F.ceil(F.col("size") / BLOCK_MEMBERS), F.lit(MAX_BLOCKS))
+    close = work.table(_partners(_blocks(mixed, parts, sets.select("id", "sig")), plan).distinct(), "close")
+    sizes = spread_join(close.select("id", "band"), sets.select("id", "n"), "id", "inner").groupBy("band").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts"))
+    close = spread_join(close, sizes, "band", "inner")
+    links = _joining(_blocks(close, F.col("parts"), sets.select("id", "sig", "bands", "set")), plan)
+    labels = _merged(labels, work.table(links, "links-3"), work, "third")
 
     named = _labelled(classes.select("key", F.col("rep")), labels, "rep", "component_id").select("key", "component_id")
     linked = spread_join(taking.select("id", "n", "key"), named, "key", "inner")
     alone = sketch.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component_id"))
-    done = linked.select("id", "n", "component_id").unionByName(alone)
-    return done.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    done = linked.select("id", "n", "component_id").unionByName(alone).select("id", "n", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    if names is not None:
+        for c in ("id", "component_id"):
+            done = spread_join(done.withColumnRenamed(c, "__n"), names.withColumnRenamed("id", c), "__n", "left").drop("__n")
+    return done.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
 def drop_near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -310,11 +339,13 @@ def drop_near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text",
     """
     spark = df.sparkSession
     found = Work(spark, "minhash-drop").table(near_duplicates(df, id, text, k, percent), "found")
-    gone = found.where(~F.col("kept")).select(id).distinct()
+    gone = found.where(~F.col("kept")).select(at(id)).distinct()
     left = join_ids(df, gone, id, "left_anti", gone.count())
-    if found.where(F.col(id).isNotNull()).groupBy(id).count().where("count > 1").limit(1).count():
+    if found.where(at(id).isNotNull()).groupBy(at(id)).count().where("count > 1").limit(1).count():
         from pyspark.sql import Window
 
-        order = Window.partitionBy(id).orderBy(F.xxhash64(text), text)
-        left = left.where(F.col(id).isNull()).unionByName(left.where(F.col(id).isNotNull()).withColumn("__k", F.row_number().over(order)).where("__k = 1").drop("__k"))
+        order = Window.partitionBy(at(id)).orderBy(F.xxhash64(at(text)), at(text))
+        rank = unused(df, "rank")
+        first = left.where(at(id).isNotNull()).withColumn(rank, F.row_number().over(order)).where(at(rank) == 1).drop(rank)
+        left = left.where(at(id).isNull()).unionByName(first)
     return left

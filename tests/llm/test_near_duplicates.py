@@ -42,17 +42,54 @@ def corpus(seed, n=50):
     return out
 
 
-@pytest.mark.parametrize("k,percent,small", [(3, 85, 192), (5, 80, 192), (3, 85, 4)])
-def test_components_against_all_pairs(spark, monkeypatch, k, percent, small):
-    monkeypatch.setattr(minhash, "SMALL", small)
-    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 16 if small == 4 else 2048)
-    texts = corpus(percent + small)
+@pytest.mark.parametrize("k,percent,block,sets,seed", [(3, 85, 1024, 2_000_000, 277), (5, 80, 1024, 2_000_000, 272), (3, 85, 16, 2_000_000, 89), (5, 80, 4, 900, 91)])
+def test_components_against_all_pairs(spark, monkeypatch, k, percent, block, sets, seed):
+    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", block)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", sets)
+    texts = corpus(seed)
     got = {r.doc_id: r for r in minhash.near_duplicates(docs(spark, texts, ["kept", "component_id", "key"]), k=k, percent=percent).collect()}
     assert {i: r.component_id for i, r in got.items()} == brute(list(enumerate(texts)), k, percent)
     for i, t in enumerate(texts):
         assert got[i].n_shingles == len(shingles(t, k)) and got[i].kept == (got[i].component_id == i)
 
 
+def test_text_ids(spark):
+    r = rng(31)
+    a, b = prose(r, 90), prose(r, 90)
+    rows = [("d-2", a), ("d-10", edited(r, a, 1)), ("é", a), (None, a), ("d-7", b), ("", "")]
+    got = {x.doc_id: (x.component_id, x.kept) for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"d-2": ("d-10", False), "d-10": ("d-10", True), "é": ("d-10", False), None: (None, True), "d-7": ("d-7", True), "": ("", True)}
+    kept = minhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id string, text string").withColumn("rank", F.lit(1)))
+    assert sorted(str(x.doc_id) for x in kept.collect()) == ["", "None", "d-10", "d-7"]
+
+
+def test_groups_that_batches_cut():
+    import numpy as np
+    import pyarrow as pa
+
+    g = np.random.default_rng(1)
+    keys = np.sort(g.integers(0, 30, 200))
+    for size in (1, 3, 7, 200):
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + size])], names=["k"]) for i in range(0, 200, size)]
+        seen = [(t["k"].to_pylist(), e.tolist()) for t, e in minhash._whole_groups(iter(batches), ["k"])]
+        assert sum((k for k, _ in seen), []) == keys.tolist()
+        assert all(not set(a) & set(b) for (a, _), (b, _) in itertools.combinations(seen, 2))
+        for ks, ends in seen:
+            assert [ks[e - 1] for e in ends] == ks and all(e == len(ks) or ks[e] != k for k, e in zip(ks, ends, strict=True))
+
+
+def test_a_group_just_under_the_threshold_writes_few_links(spark, monkeypatch):
+    """Copies of one text, each with so many edits that hardly any two are linked: links stay below the members."""
+    r = rng(33)
+    base = prose(r, 200, 50_000)
+    texts = [edited(r, base, 7) for _ in range(150)]
+    made, whole = [], minhash._joining
+    monkeypatch.setattr(minhash, "_joining", lambda *a: made.append(whole(*a)) or made[0])
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(docs(spark, texts)).collect()}
+    assert got == brute(list(enumerate(texts)), 5, 80)
+    assert made[0].count() < len(texts)
+
+
 def test_null_and_repeated_ids(spark):
     r = rng(9)
     a, b = prose(r, 60), prose(r, 60)
