@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Work, at, columns_but, map_batches, packed, process_cache, unpacked
+from .common import Work, at, columns_but, freeing, inside, map_batches, packed, process_cache, unpacked
 
 #: Code points of a chunk, and how far it reaches into the next.
 CHUNK, OVERLAP = 65_536, 2_048
@@ -155,14 +155,17 @@ def _replaced(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordB
     return pa.RecordBatch.from_arrays([c for _, c in kept] + list(columns.values()), names=names)
 
 
-def encode(df: DataFrame, vocabulary: Broadcast, text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(df: DataFrame, vocabulary: Broadcast, text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False) -> DataFrame:
     """Add tokens (packed ids, binary) and n_tokens (bigint); columns of these names in the input are replaced.
 
+    With decoded, add the column decoded too, as decode does, from the ids where they are made: one pass of workers.
+
     Edge cases: a null or empty text has no tokens (empty, not null). Texts of any length are encoded whole; the pieces
     of one text are stitched, and its ids joined, by one task. Repeated rows are each encoded. An empty table gives an
     empty result.
     """
-    kept = columns_but(df, ("tokens", "n_tokens"))
+    fields = [("tokens", "binary"), ("n_tokens", "bigint"), *([("decoded", "binary")] if decoded else [])]
+    kept = columns_but(df, [n for n, _ in fields])
     size = F.char_length(F.coalesce(at(text), F.lit("")))
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,26 +174,29 @@ def encode(df: DataFrame, vocabulary: Broadcast, text: str = "text", chunk: int
             for at in range(0, whole.num_rows, _ROWS):
                 batch = whole.slice(at, _ROWS)
                 packed = [coder.encode(t).tobytes() if t else b"" for t in batch.column(text).to_pylist()]
-                yield _replaced(batch, {"tokens": pa.array(packed, pa.binary()), "n_tokens": pa.array([len(p) // 4 for p in packed], pa.int64())})
+                made = {"tokens": pa.array(packed, pa.binary()), "n_tokens": pa.array([len(p) // 4 for p in packed], pa.int64())}
+                if decoded:
+                    made["decoded"] = pa.array(map(coder.decode, packed), pa.binary())
+                yield _replaced(batch, made)
 
     rows = df.select(*map(at, kept))
     if vocabulary.value[2] == WHOLE:
-        return map_batches(rows, kept, short, ("tokens", "binary"), ("n_tokens", "bigint"))
-    near = map_batches(rows.where(size <= chunk), kept, short, ("tokens", "binary"), ("n_tokens", "bigint"))
-    return near.unionByName(_encode_long(rows.where(size > chunk), vocabulary, text, chunk, overlap))
+        return map_batches(rows, kept, short, *fields)
+    near = map_batches(rows.where(size <= chunk), kept, short, *fields)
+    return near.unionByName(_encode_long(rows.where(size > chunk), vocabulary, text, chunk, overlap, [n for n, _ in fields]))
 
 
-def _encode_long(df: DataFrame, vocabulary: Broadcast, text: str, chunk: int, overlap: int) -> DataFrame:
+def _encode_long(df: DataFrame, vocabulary: Broadcast, text: str, chunk: int, overlap: int, fields: list[str]) -> DataFrame:
     """Texts of more than one chunk: pre-tokenise chunks, stitch by text, encode pieces, join in order.
 
     A text and its chunks are one row's cell and never meet those of other rows. The long texts are written out with
     unique row numbers first, so that every later plan sees the same numbers.
     """
     kept = df.columns
-    numbered = df.select(packed(kept), at(text).alias("__text"), F.monotonically_increasing_id().alias("__row"))
+    numbered = df.select(packed(kept), F.monotonically_increasing_id().alias("__row"))
     rows = Work(df.sparkSession, "bpe").table(numbered, "long")
-    starts = F.sequence(F.lit(0), F.char_length("__text") - 1, F.lit(chunk))
-    cut = rows.select("__row", F.col("__text").alias("__t"), F.posexplode(starts).alias("__k", "__start"))
+    starts = F.sequence(F.lit(0), F.char_length(inside(text)) - 1, F.lit(chunk))
+    cut = rows.select("__row", inside(text).alias("__t"), F.posexplode(starts).alias("__k", "__start"))
     cut = cut.select("__row", "__k", F.expr(f"substring(__t, __start + 1, {chunk + overlap})").alias("__part"))
 
     def pre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +207,7 @@ def _encode_long(df: DataFrame, vocabulary: Broadcast, text: str, chunk: int, ov
                 ends = np.array(coder.boundaries(part), dtype="<u4").tobytes()
                 yield pa.RecordBatch.from_arrays([b.column("__row").slice(i, 1), b.column("__k").slice(i, 1), b.column("__part").slice(i, 1), pa.array([ends], pa.binary())], names=["__row", "__k", "__part", "__ends"])
 
-    parts = cut.repartition("__row", "__k").mapInArrow(pre, "__row bigint, __k int, __part string, __ends binary")
+    parts = cut.repartition("__row", "__k").mapInArrow(freeing(pre), "__row bigint, __k int, __part string, __ends binary")
 
     def join(key: tuple, table: pa.Table) -> pa.Table:
         coder = load_coder(vocabulary)
@@ -224,16 +230,19 @@ def _encode_long(df: DataFrame, vocabulary: Broadcast, text: str, chunk: int, ov
         for b in batches:
             for i in range(b.num_rows):
                 packed = coder.encode(b.column("__piece")[i].as_py()).tobytes()
-                yield pa.RecordBatch.from_arrays([b.column("__row").slice(i, 1), b.column("__i").slice(i, 1), pa.array([packed], pa.binary())], names=["__row", "__i", "__ids"])
+                plain = coder.decode(packed) if "decoded" in fields else None
+                yield pa.RecordBatch.from_arrays([b.column("__row").slice(i, 1), b.column("__i").slice(i, 1), pa.array([packed], pa.binary()), pa.array([plain], pa.binary())], names=["__row", "__i", "__ids", "__plain"])
 
-    coded = pieces.repartition("__row", "__i").mapInArrow(enc, "__row bigint, __i int, __ids binary")
+    coded = pieces.repartition("__row", "__i").mapInArrow(freeing(enc), "__row bigint, __i int, __ids binary, __plain binary")
 
     def whole(key: tuple, table: pa.Table) -> pa.Table:
-        packed = b"".join(table.sort_by("__i").column("__ids").to_pylist())
-        return pa.table({"__row": pa.array([key[0].as_py()], pa.int64()), "tokens": pa.array([packed], pa.binary()), "n_tokens": pa.array([len(packed) // 4], pa.int64())})
+        table = table.sort_by("__i")
+        packed = b"".join(table.column("__ids").to_pylist())
+        plain = b"".join(table.column("__plain").to_pylist()) if "decoded" in fields else None
+        return pa.table({"__row": pa.array([key[0].as_py()], pa.int64()), "tokens": pa.array([packed], pa.binary()), "n_tokens": pa.array([len(packed) // 4], pa.int64()), "decoded": pa.array([plain], pa.binary())})
 
-    joined = coded.groupBy("__row").applyInArrow(whole, "__row bigint, tokens binary, n_tokens bigint")
-    return rows.join(joined, "__row").select(*unpacked(kept), "tokens", "n_tokens")
+    joined = coded.groupBy("__row").applyInArrow(whole, "__row bigint, tokens binary, n_tokens bigint, decoded binary")
+    return rows.join(joined, "__row").select(*unpacked(kept), *fields)
 
 
 def decode(df: DataFrame, vocabulary: Broadcast, tokens: str = "tokens") -> DataFrame:

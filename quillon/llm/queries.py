@@ -43,9 +43,8 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> D
 
     vocabulary = bpe.share_vocabulary(spark, path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.encode(docs, vocabulary).select("doc_id", "n_tokens", "tokens")
-    plain = bpe.decode(coded, vocabulary)
-    return plain.select("doc_id", "n_tokens", F.sha2("tokens", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = bpe.encode(docs, vocabulary, decoded=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("tokens", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

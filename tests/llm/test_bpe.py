@@ -36,6 +36,8 @@ def test_round_trip_and_ids(spark, library):
         assert np.frombuffer(rows[i].tokens, "<u4").tolist() == library.encode_ordinary(t or ""), i
         assert bytes(rows[i].decoded) == (t or "").encode()
         assert rows[i].n_tokens == len(rows[i].tokens) // 4 and rows[i].text == t
+    once = bpe.encode(docs(spark, given, ["tokens", "decoded"]), v, chunk=64, overlap=16, decoded=True).collect()
+    assert {(r.doc_id, bytes(r.tokens), bytes(r.decoded), r.text) for r in once} == {(i, bytes(r.tokens), bytes(r.decoded), r.text) for i, r in rows.items()}
     assert bpe.encode(docs(spark, []), v).collect() == []
 
 
