@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work, at, columns_but, packed, pinned, spread_join, unpacked
+from .common import Work, at, columns_but, inside, packed, pinned, spread_join, unpacked
 
 #: Lines of a window.
 WINDOW = 3
@@ -65,14 +65,14 @@ def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", window: i
     total = covered.agg(F.coalesce(F.sum(F.size("__pos") + 4), F.lit(0))).first()[0]
     out = ("n_lines", "n_removed")
     kept = columns_but(df, out)
-    docs = df.select(packed(kept), at(text).alias("__t"), *_row_key(id, text))
+    docs, t = df.select(packed([*kept, text]), *_row_key(id, text)), inside(text)
     docs = docs.join(F.broadcast(covered) if total <= BROADCAST_POSITIONS else covered, ["__k1", "__k2"], "left")
     hit = F.col("__pos").isNotNull()
-    docs = pinned(docs, "__in", "__t", "__pos", _lines(F.col("__t")).alias("__lines"), F.when(hit, _full(_lines(F.col("__t")))).alias("__full"))
+    docs = pinned(docs, "__in", "__pos", _lines(t).alias("__lines"), F.when(hit, _full(_lines(t))).alias("__full"))
     gone = F.array_distinct(F.flatten(F.transform("__pos", lambda p: F.slice(F.col("__full"), p + 1, window))))
-    docs = pinned(docs, "__in", "__t", "__lines", F.when(hit, gone).alias("__gone"))
+    docs = pinned(docs, "__in", "__lines", F.when(hit, gone).alias("__gone"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     joined = F.array_join(F.transform(stay, lambda i: F.get(F.col("__lines"), i)), "\n")
-    clean = F.when(F.col("__gone").isNull(), F.col("__t")).otherwise(joined)
-    n = F.when(F.col("__t").isNull(), 0).otherwise(F.size("__lines")).cast("bigint")
+    clean = F.when(F.col("__gone").isNull(), t).otherwise(joined)
+    n = F.when(t.isNull(), 0).otherwise(F.size("__lines")).cast("bigint")
     return pinned(docs, *[clean.alias(c) if c == text else x for c, x in zip(kept, unpacked(kept), strict=True)], n.alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias("n_removed"))

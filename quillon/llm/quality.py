@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, at, columns_but, packed, pinned, unpacked
+from .common import SPACE_CLASS, at, columns_but, inside, packed, pinned, unpacked
 
 #: Fewest words, and the largest percentage of words in repeated windows.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -73,22 +73,21 @@ def apply_quality(df: DataFrame, text: str = "text", max_lost_percent: int = MAX
     """
     out = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_percent", "clean_text", "kept")
     kept = columns_but(df, out)
-    t = F.coalesce(at(text), F.lit(""))
-    d = pinned(df, packed(kept), at(text).isNotNull().alias("__some"), t.alias("__t"), words_of(at(text)).alias("__w"), F.split(t, "\n", -1).alias("__l"))
-    has_word = lambda x: x.rlike(_WORD)
+    d = pinned(df, packed([*kept, text]), words_of(at(text)).alias("__w"), F.split(F.coalesce(at(text), F.lit("")), "\n", -1).alias("__l"))
+    t, has_word = F.coalesce(inside(text), F.lit("")), lambda x: x.rlike(_WORD)
     w, n = F.col("__w"), F.size("__w")
     windows = F.when(n >= 3, F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)))).otherwise(F.expr("cast(array() as array<bigint>)"))
     d = pinned(
-        d, "__in", "__some", "__t", n.cast("bigint").alias("n_words"), windows.alias("__h"),
+        d, "__in", n.cast("bigint").alias("n_words"), windows.alias("__h"),
         F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
-        _signs(F.col("__t")).cast("bigint").alias("n_symbols"),
+        _signs(t).cast("bigint").alias("n_symbols"),
         F.filter("__l", has_word).alias("__full"),
         F.filter("__l", lambda x: ~has_word(x) | _good_line(x)).alias("__good"),
     )
     # The base numbers, then the verdicts.
     twice = F.when(F.size("__h") > F.size(F.array_distinct("__h")), _covered(F.col("__h"))).otherwise(F.lit(0).cast("bigint"))
-    d = pinned(d, "__in", "__some", "__t", F.array_join("__good", "\n").alias("__clean"), "n_words", "word_chars", "n_symbols", (F.size("__full") - F.size(F.array_distinct("__full"))).cast("bigint").alias("n_dup_lines"), twice.alias("n_repeat_words"))
+    d = pinned(d, "__in", F.array_join("__good", "\n").alias("__clean"), "n_words", "word_chars", "n_symbols", (F.size("__full") - F.size(F.array_distinct("__full"))).cast("bigint").alias("n_dup_lines"), twice.alias("n_repeat_words"))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
-    left = F.when(F.col("__clean") == F.col("__t"), F.col("word_chars")).otherwise(F.length(F.array_join(words_of(F.col("__clean")), "")))
-    d = d.select("__in", "__some", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "__clean", (F.when(F.col("word_chars") > 0, (F.col("word_chars") - left) * 100 / F.col("word_chars")).otherwise(0.0)).alias("lost_percent"))
-    return d.select(*unpacked(kept), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_percent", F.when(F.col("__some"), F.col("__clean")).alias("clean_text"), (~F.col("base_failed") & (F.col("lost_percent") <= max_lost_percent)).alias("kept"))
+    left = F.when(F.col("__clean") == t, F.col("word_chars")).otherwise(F.length(F.array_join(words_of(F.col("__clean")), "")))
+    d = d.select("__in", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "__clean", (F.when(F.col("word_chars") > 0, (F.col("word_chars") - left) * 100 / F.col("word_chars")).otherwise(0.0)).alias("lost_percent"))
+    return d.select(*unpacked(kept), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_percent", F.when(inside(text).isNotNull(), F.col("__clean")).alias("clean_text"), (~F.col("base_failed") & (F.col("lost_percent") <= max_lost_percent)).alias("kept"))
