@@ -59,7 +59,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = bpe.share_vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    coded = bpe.decode(bpe.encode(docs.select(*COLUMNS), vocabulary), vocabulary)
+    coded = bpe.encode(docs.select(*COLUMNS), vocabulary, decoded=True)
     same = F.coalesce(F.col("text"), F.lit("")).cast("binary") == F.col("decoded")
     return coded.select("doc_id", "lang", "source", "n_chars", "n_tokens", "tokens", same.alias("round_trip"))
 
