@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +41,6 @@ def plain_words(text: str | None) -> list[bytes]:
     return text.encode().lower().translate(_CUT).split() if text else []
 
 
-@cache
 def settings(part: int, percent: int) -> tuple[int, int]:
     """Minima looked up and least number seen in documents of fewer than 2**part shingles.
 
@@ -74,6 +72,7 @@ class Index:
                 self.sets.append(s)
                 width.append(min(k, len(h)))
         self.low, self.width, self.size = low[: len(self.ids)], np.array(width, int), np.array([len(s) for s in self.sets], int)
+        self.asks = [settings(part, percent) for part in range(64)]
         self.parts = {w: self._part(np.flatnonzero(self.width == w)) for w in np.unique(self.width).tolist()}
 
     def _part(self, own: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -90,7 +89,7 @@ class Index:
         """The items of which a set of shingles holds as many minima as its size partition asks for."""
         keys, start, owner, rank, bits = self.parts[width]
         part = len(s).bit_length()
-        looked, least = settings(part, self.percent)
+        looked, least = self.asks[part]
         if len(s) > 8 * len(keys):  # a document far larger than the index
             s = np.sort(s)
             hit = np.flatnonzero(s[np.minimum(np.searchsorted(s, keys), len(s) - 1)] == keys)

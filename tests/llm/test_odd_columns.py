@@ -43,3 +43,22 @@ def test_other_columns_come_back(spark, table, name):
     assert len(rows) == len(want) - (name == "near") and {r.id for r in rows} <= set(want)
     for r in rows:
         assert all(r[c] == want[r.id][c] for c in NAMES if c not in made)
+
+
+def test_workers_need_not_have_the_package(spark, table, tmp_path):
+    """What travels to workers is loaded by an interpreter that can't import the package."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from quillon.llm.common import map_batches
+
+    index = decontam.Index([(1, "one two three four five six")], 5, 80)
+    model = langid.train([("the cat", "en"), ("le chat", "fr")])
+    scan = licenses.Templates(licenses.TEMPLATES)
+    made = [index.search, model.emissions, scan.scan, bpe.stitch, minhash._whole_groups, langid.posteriors, map_batches]
+    (tmp_path / "made").write_bytes(cloudpickle.dumps(made))
+    code = f"import pickle, sys; made = pickle.load(open({str(tmp_path / 'made')!r}, 'rb')); assert 'quillon' not in sys.modules; print(made[0]([]), len(made))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin"}, capture_output=True, text=True, timeout=120)
+    assert out.stdout.strip() == "[] 7", out.stderr[-2000:]
