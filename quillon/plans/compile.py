@@ -12,6 +12,7 @@ pivoting aggregate of a triple table, without a join.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from ..sources.triples import TripleSource
 from .query import Pattern, Query, Var
 
 _PARTS = ("k", "s", "n", "b", "key")
+#: Parts of a product of bindings, in which a variable is unbound, with all that it may be.
+SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -117,7 +120,12 @@ class _State:
 
 
 def _join(state: _State, right: DataFrame, names: list[str], how: str, modes: Modes) -> _State:
-    """Join bindings with those of a pattern or group, which are always bound."""
+    """Join bindings with those of a pattern or group, which are always bound.
+
+    A shared variable that may be unbound is free where it is: such bindings are joined apart from the others, on the
+    variables that they have, so that every join has keys. There are at most as many parts as subsets of a pattern's
+    maybe-bound variables.
+    """
     if state.df is None:
         if how == "inner":
             return _State(right, dict.fromkeys(names, False))
@@ -125,8 +133,37 @@ def _join(state: _State, right: DataFrame, names: list[str], how: str, modes: Mo
     shared = [v for v in names if v in state.maybe]
     cols = {(v, p): f"r_{v}__{p}" for v in names for p in _PARTS}
     right = right.select(*[F.col(_name(v, p)).alias(cols[v, p]) for v, p in cols])
+    loose = [v for v in shared if state.maybe[v]]
+    df = None
+    for free in product((False, True), repeat=len(loose)):
+        unbound = [v for v, is_free in zip(loose, free, strict=True) if is_free]
+        part = state.df
+        for v in loose:
+            kind = F.col(_name(v, "k"))
+            part = part.where(kind.isNull() if v in unbound else kind.isNotNull())
+        made = _join_bound(part, right, [v for v in shared if v not in unbound], how, modes, cols)
+        if how != "left_anti":
+            out = []
+            for v in dict.fromkeys([*state.maybe, *names]):
+                mine = v in state.maybe and v not in unbound
+                out += [F.col(_name(v, p) if mine else cols[v, p]).alias(_name(v, p)) for p in _PARTS]
+            made = made.select(*out)
+        df = made if df is None else df.unionByName(made)
+    maybe = dict(state.maybe)
+    for v in names if how != "left_anti" else ():
+        maybe[v] = False if how == "inner" else maybe.get(v, True)
+    return _State(df, maybe)
+
+
+def _join_bound(left: DataFrame, right: DataFrame, shared: list[str], how: str, modes: Modes, cols: dict[tuple[str, str], str]) -> DataFrame:
+    """Join on variables that are bound on both sides. Without any, an inner join is the product that the query asks
+    for, and outer ones, which only unbound variables lead to, are dealt out by salted keys."""
+    if not shared:
+        if how == "left_anti":
+            return left.join(right.limit(1).select(F.lit(True).alias("r__any")), F.lit(True), "left_anti")
+        return left.crossJoin(right) if how == "inner" else _salted_product(left, right, how)
     on: list[Column] = []
-    if modes.epsilon_joins and shared:
+    if modes.epsilon_joins:
         right = right.withColumn("r__near", F.explode(_near(cols[shared[0], "k"], cols[shared[0], "n"])))
     for i, v in enumerate(shared):
         mine, theirs = F.col(_name(v, "key")), F.col(cols[v, "key"])
@@ -141,27 +178,17 @@ def _join(state: _State, right: DataFrame, names: list[str], how: str, modes: Mo
         if modes.strict_refs:
             # A reference met first stands for the value only; an entity met first matches references too.
             same = same & ~((F.col(_name(v, "k")) == "ref") & (F.col(cols[v, "k"]) == "entity"))
-        on.append((F.col(_name(v, "k")).isNull() | same) if state.maybe[v] else same)
-    if how == "left_anti":
-        if not on:
-            return _State(state.df.join(right.limit(1).select(F.lit(True).alias("r__any")), F.lit(True), "left_anti"), state.maybe)
-        df = state.df
-        return _State(df.join(right, _all(on), "left_anti"), state.maybe)
-    if not on:
-        df = state.df.crossJoin(right) if how == "inner" else state.df.join(right, F.lit(True), "left")
-    else:
-        df = state.df.join(right, _all(on), how)
-    out = []
-    for v in dict.fromkeys([*state.maybe, *names]):
-        for p in _PARTS:
-            old = F.col(_name(v, p)) if v in state.maybe else None
-            new = F.col(cols[v, p]) if v in names else None
-            pick = new if old is None else old if new is None or not state.maybe[v] else F.coalesce(old, new) if p == "k" else F.when(F.col(_name(v, "k")).isNotNull(), old).otherwise(new)
-            out.append(pick.alias(_name(v, p)))
-    maybe = dict(state.maybe)
-    for v in names:
-        maybe[v] = False if how == "inner" else maybe.get(v, True)
-    return _State(df.select(*out), maybe)
+        on.append(same)
+    return left.join(right, _all(on), how)
+
+
+def _salted_product(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Every row of the left with every row of the right, as an equi-join on a salt: the left is dealt into SALTS parts
+    and the right copied to each, so Spark may hash, merge, or broadcast a side whose size it has checked."""
+    salt = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)) if left.columns else F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
+    dealt = left.withColumn("l__salt", salt.cast("int"))
+    copied = right.withColumn("r__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copied, F.col("l__salt") == F.col("r__salt"), how).drop("l__salt", "r__salt")
 
 
 def _all(on: list[Column]) -> Column:

@@ -138,3 +138,21 @@ def test_star_is_one_scan_without_join(spark):
     q = Query(["x", "n", "g"]).must(V("x"), "name", V("n")).may(V("x"), "age", V("g"))
     plan = run(source(spark, USERS), q)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+@pytest.mark.parametrize("name", ["combined", "optional_chain", "optional_rebind", "optional_one", "where_not_attr"])
+def test_no_nested_loops_for_variables_that_may_be_unbound(spark, name):
+    from quillon import queries
+
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_unbound_variables_in_longer_chains(spark):
+    """Two variables that may both be unbound are shared with one pattern; a third pattern binds what they left."""
+    for q in (
+        Query(["x", "g", "y"]).must(V("x"), "name", V("n")).may(V("x"), "age", V("g")).may(V("x"), "boss", V("y")).may(V("y"), "age", V("g")),
+        Query(["x", "y", "a"]).must(V("x"), "name", V("n")).may(V("x"), "boss", V("y")).may(V("y"), "active", V("a")).must_not(V("y"), "boss", V("x")),
+    ):
+        check(spark, USERS, q)
+        check(spark, USERS, q, Modes(fuse_stars=False))
