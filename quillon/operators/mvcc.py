@@ -27,6 +27,14 @@ def versions(log: DataFrame, keys: tuple[str, ...] = ("e", "a")) -> DataFrame:
     return out.where("type <> 'DELETE'").drop("type", "lsn")
 
 
+def extend(base: DataFrame, log: DataFrame) -> DataFrame:
+    """The versions of a base and of the committed operations behind it: the first one on a key ends its live version."""
+    firsts = log.where(F.col("type").isin(*OPS)).groupBy("e", "a").agg(F.min("txn").alias("__end"))
+    ended = F.when(F.col("deleted_txn") == 0, F.coalesce("__end", F.lit(0).cast("bigint"))).otherwise(F.col("deleted_txn"))
+    held = base.join(firsts, ["e", "a"], "left").withColumn("deleted_txn", ended).drop("__end")
+    return held.unionByName(versions(log).select(*[c for c in held.columns]))
+
+
 def committed(log: DataFrame) -> DataFrame:
     """Operations of transactions that have a COMMIT record."""
     done = log.where("type = 'COMMIT'").select("txn").distinct()

@@ -6,6 +6,7 @@ writes while it listens.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from .operators import lww, validate
 from .operators.mvcc import Snapshots
 from .plans.compile import Modes, run
 from .plans.query import Query
-from .sources.store import LOG, EngineError, Store
+from .sources.store import CHECKPOINT_COMMITS, EngineError, Store
 from .sources.triples import COLUMNS, TripleSource
 from .streaming import feed
 
@@ -31,6 +32,7 @@ class Engine:
         self.stores: dict[str, Store] = {}
         self.snapshots: dict[str, Snapshots] = {}
         self._next = 0
+        self._stop: threading.Event | None = None
 
     def store(self, api_key: str) -> Store:
         if api_key not in self.stores:
@@ -47,6 +49,38 @@ class Engine:
         store = self.store(api_key)
         return store.compact(self.snapshots[api_key].min_active)
 
+    def maintain(self, commits: int = CHECKPOINT_COMMITS) -> dict[str, int | None]:
+        """One tick of upkeep: checkpoint every open store that has enough commits behind its base.
+
+        A store to which somebody else commits meanwhile is left for the next tick.
+        """
+        done: dict[str, int | None] = {}
+        for key, store in list(self.stores.items()):
+            try:
+                done[key] = store.maintain(self.snapshots[key].min_active, commits)
+            except EngineError:
+                done[key] = None
+        return done
+
+    def start_maintenance(self, seconds: float, commits: int = CHECKPOINT_COMMITS) -> None:
+        """Tick in the background until stop_maintenance."""
+        if self._stop is not None:
+            raise EngineError("maintenance runs already")
+        stop = self._stop = threading.Event()
+
+        def loop() -> None:
+            while not stop.wait(seconds):
+                self.maintain(commits)
+
+        self._thread = threading.Thread(target=loop, daemon=True)
+        self._thread.start()
+
+    def stop_maintenance(self) -> None:
+        if self._stop is not None:
+            self._stop.set()
+            self._thread.join()
+            self._stop = None
+
 
 def union_sources(*sources: TripleSource) -> TripleSource:
     """Several stores as one, such as a shared and a user's own; single only if no key can be in two of them."""
@@ -108,12 +142,18 @@ class Connection:
         return self.store.delete(keys, self.clock.tick(), self.number)
 
     def subscribe(self, id: str, each: Callable[[DataFrame], None], checkpoint: str, since: Hlc | None = None) -> StreamingQuery:
-        """Changes that are there, from a time on, and those that come, by others; the id is the connection's own."""
+        """Changes that are there, from a time on, and those that come, by others; the id is the connection's own.
+
+        The stream is of commits, so operations of refused or lost writers are never heard.
+        """
         if id in self.subscriptions:
             raise InvalidQuery(f"there is a subscription {id!r} already")
-        log = feed.read_log(self.engine.spark, f"{self.store.path}/log", LOG)
-        stream = feed.live_changes(log, self.number, since)
-        self.subscriptions[id] = feed.subscribe(stream, lambda batch, _: each(batch), checkpoint)
+        store, number = self.store, self.number
+
+        def deliver(marks: DataFrame, _: int) -> None:
+            each(feed.live_changes(store.operations(marks), number, since))
+
+        self.subscriptions[id] = feed.subscribe(store.log_stream(), deliver, checkpoint)
         return self.subscriptions[id]
 
     def unsubscribe(self, id: str) -> None:
