@@ -1,16 +1,17 @@
 """Field-level last-write-wins, ordered by hybrid logical clocks.
 
 An update is accepted if its time is strictly greater than the stored one. With times t1, t2, ... of a key in order of
-arrival the stored time is their running maximum, so acceptance is a window over the key; the state after a batch is
-one aggregate that combines on the map side. Of equal times the first to arrive stays.
+arrival the stored time is their running maximum, taken over slices of the arrivals so that a hot key is spread; the
+state after a batch is one aggregate that combines on the map side. Of equal times the first to arrive stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hlc import stamp
+from .slices import max_before
 
 KEY = ("e", "a")
 PAYLOAD = ("kind", "s", "n", "b", "r")
@@ -30,14 +31,10 @@ def decide(updates: DataFrame, stored: DataFrame | None = None, keys: tuple[str,
 
     stored has the keys and the clock columns of live rows.
     """
-    before = Window.partitionBy(*keys).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    d = updates.withColumn("__t", stamp())
-    seen: Column = F.max("__t").over(before)
+    d = max_before(updates.withColumn("__t", stamp()), keys, arrival, "__t", "__top")
     if stored is not None:
         held = stored.select(*keys, stamp().alias("__held"))
-        d = d.join(held, list(keys), "left").withColumn("__top", F.greatest("__held", F.max("__t").over(before)))
-    else:
-        d = d.withColumn("__top", seen)
+        d = d.join(held, list(keys), "left").withColumn("__top", F.greatest("__held", "__top"))
     outcome = F.when(F.col("__top").isNull(), "insert").when(F.col("__t") > F.col("__top"), "update").otherwise("reject")
     return d.withColumn("outcome", outcome).drop("__t", "__held", "__top")
 
@@ -50,9 +47,9 @@ def decide_at_once(updates: DataFrame, stored: DataFrame, keys: tuple[str, ...]
     held = stored.select(*keys, stamp().alias("__held"))
     d = updates.join(held, list(keys), "left")
     outcome = F.when(F.col("__held").isNull(), "insert").when(stamp() > F.col("__held"), "update").otherwise("reject")
-    d = d.withColumn("outcome", outcome)
-    final = F.max(F.when(F.col("outcome") != "reject", F.col(arrival))).over(Window.partitionBy(*keys))
-    return d.withColumn("last", F.coalesce(F.col(arrival) == final, F.lit(False))).drop("__held")
+    d = d.withColumn("outcome", outcome).drop("__held")
+    final = d.where("outcome <> 'reject'").groupBy(*keys).agg(F.max(arrival).alias("__final"))
+    return d.join(final, list(keys), "left").withColumn("last", F.coalesce(F.col(arrival) == F.col("__final"), F.lit(False))).drop("__final")
 
 
 def merge(stored: DataFrame, updates: DataFrame, keys: tuple[str, ...] = KEY, arrival: str = "arrival") -> DataFrame:

@@ -5,9 +5,11 @@ Every version of a key is kept as [created_txn, deleted_txn); an old snapshot se
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .slices import next_of
+
 OPS = ("INSERT", "UPDATE", "DELETE")
 
 
@@ -20,10 +22,10 @@ def versions(log: DataFrame, keys: tuple[str, ...] = ("e", "a")) -> DataFrame:
 
     Of several operations of one transaction on a key the last one counts.
     """
-    per = Window.partitionBy(*keys, "txn").orderBy(F.desc("lsn"))
-    ops = log.where(F.col("type").isin(*OPS)).withColumn("__n", F.row_number().over(per)).where("__n = 1").drop("__n")
-    ahead = F.lead("txn").over(Window.partitionBy(*keys).orderBy("lsn"))
-    out = ops.withColumn("deleted_txn", F.coalesce(ahead, F.lit(0).cast("bigint"))).withColumnRenamed("txn", "created_txn")
+    rest = [c for c in log.columns if c not in (*keys, "txn")]
+    last = log.where(F.col("type").isin(*OPS)).groupBy(*keys, "txn").agg(F.max_by(F.struct(*rest), "lsn").alias("w"))
+    ops = last.select(*[F.col("w")[c].alias(c) if c in rest else F.col(c) for c in log.columns])
+    out = next_of(ops, keys, "lsn", "txn", "__end").withColumn("deleted_txn", F.coalesce("__end", F.lit(0).cast("bigint"))).drop("__end").withColumnRenamed("txn", "created_txn")
     return out.where("type <> 'DELETE'").drop("type", "lsn")
 
 

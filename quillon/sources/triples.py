@@ -7,10 +7,12 @@ of one table, read by a column-pruned scan, and a star of attributes of one enti
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 COLUMNS = ("e", "a", "kind", "s", "n", "b", "r")
 SCHEMA = "e string, a string, kind string, s string, n double, b boolean, r string"
@@ -84,6 +86,19 @@ class WideSource(TripleSource):
     def _entity(self, t: Table) -> Column:
         return F.concat(F.lit(f"{t.name}:"), F.col(t.key).cast("string"))
 
+    @staticmethod
+    def _key_is(rows: DataFrame, key: str, text: str) -> Column:
+        """Whether a key's text is the given one; compared in the key's own type, so that the filter reaches the file scan."""
+        kind = rows.schema[key].dataType
+        if isinstance(kind, T.StringType):
+            return F.col(key) == text
+        if not isinstance(kind, T.IntegralType):
+            return F.col(key).cast("string") == text
+        bits = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}[kind.simpleString()]
+        if not re.fullmatch(r"0|-?[1-9][0-9]*", text) or not -(1 << bits - 1) <= int(text) < 1 << bits - 1:
+            return F.lit(False)
+        return F.col(key) == F.lit(int(text)).cast(kind)
+
     def _column(self, t: Table, column: str) -> tuple[Column, str]:
         if column == "id":
             return self._entity(t), "str"
@@ -119,7 +134,7 @@ class WideSource(TripleSource):
         for name, columns in by_table.items():
             t, rows = self.tables[name], self.frames[name]
             if entity is not None:
-                rows = rows.where(F.col(t.key).cast("string") == entity.partition(":")[2])
+                rows = rows.where(self._key_is(rows, t.key, entity.partition(":")[2]))
             if len(columns) == 1:
                 value, kind = self._column(t, columns[0])
                 rows = rows.select(self._entity(t).alias("e"), F.lit(f"{name}/{columns[0]}").alias("a"), value.alias("v"))
@@ -148,8 +163,11 @@ def explode_wide(source: WideSource) -> DataFrame:
 
 
 def write_triples(df: DataFrame, path: str) -> None:
-    """One folder an attribute, sorted by entity, so that attribute scans prune folders and entity scans row groups."""
-    df.repartition("a").sortWithinPartitions("a", "e").write.mode("overwrite").partitionBy("a").parquet(path)
+    """One folder an attribute, sorted by entity, so that attribute scans prune folders and entity scans row groups.
+
+    Ranges of both keys are dealt out, so a common attribute is written by many tasks.
+    """
+    df.repartitionByRange("a", "e").sortWithinPartitions("a", "e").write.mode("overwrite").partitionBy("a").parquet(path)
 
 
 def read_triples(spark: SparkSession, path: str, single: bool = True) -> TripleSource:

@@ -11,6 +11,7 @@ import sys
 from collections.abc import Callable, Iterator
 from decimal import Decimal
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -43,16 +44,23 @@ def live_changes(log: DataFrame, connection: int | None = None, since: Hlc | Non
 
 
 def _decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held = tuple(map(int, state.get)) if state.exists else None
+    """Decide a key's rows at once: the held clock is the running maximum of the clocks' ranks, in order of arrival."""
+    held = state.get if state.exists else None
     rows = pd.concat(list(frames)).sort_values("arrival", kind="stable")
-    outcome = []
-    for p, logical, node in zip(rows["hlc_p"], rows["hlc_l"], rows["hlc_n"], strict=True):
-        now = (int(p), int(logical), int(node))
-        outcome.append("insert" if held is None else "update" if now > held else "reject")
-        if outcome[-1] != "reject":
-            held = now
-    state.update((Decimal(held[0]), held[1], held[2]))
-    yield rows.assign(outcome=outcome)[[c.split(" ")[0] for c in DECIDED.split(", ")]]
+    first = [[int(x)] for x in held] if held is not None else [[], [], []]
+    p, logical, node = (np.concatenate([np.array(x, kind), rows[c].astype(kind).to_numpy()]) for x, c, kind in zip(first, ("hlc_p", "hlc_l", "hlc_n"), (np.uint64, np.int64, np.int64), strict=True))
+    order = np.lexsort((node, logical, p))
+    new = np.append(False, np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in (p, logical, node)]))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new)
+    top = np.maximum.accumulate(rank)
+    better = np.append(True, rank[1:] > top[:-1])
+    outcome = np.where(better, "update", "reject")
+    if held is None:
+        outcome[0] = "insert"
+    last = int(rank.argmax())
+    state.update((Decimal(int(p[last])), int(logical[last]), int(node[last])))
+    yield rows.assign(outcome=outcome[len(rank) - len(rows) :])[[c.split(" ")[0] for c in DECIDED.split(", ")]]
 
 
 def stream_lww(updates: DataFrame) -> DataFrame:
