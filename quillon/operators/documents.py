@@ -155,16 +155,43 @@ class Documents:
             out = out.orderBy(*[F.col(f).asc_nulls_last() if d == "asc" else F.col(f).desc_nulls_last() for f, d in order_by])
         return out if limit is None else out.limit(limit)
 
-    def page(self, fields: list[str], order_by: str, size: int, after: tuple[Any, str] | None = None, where: dict[str, Any] | None = None) -> DataFrame:
-        """A page by key: the rows behind the last one seen (its sort value and id), ties broken by id; missing last."""
-        rows = self._filtered([*fields, "id"], where or {}, [(order_by, "asc")])
-        if after is not None:
-            value, last = after
-            c = F.col(order_by)
-            rows = rows.where((c.isNull() & (F.col("id") > last)) if value is None else (c > value) | ((c == value) & (F.col("id") > last)) | c.isNull())
-        rows = rows.orderBy(F.col(order_by).asc_nulls_last(), "id").limit(size)
+    def page(self, fields: list[str], order_by: str | list[tuple[str, str]], size: int, after: tuple[Any, ...] | None = None, where: dict[str, Any] | None = None, before: tuple[Any, ...] | None = None) -> DataFrame:
+        """A page by key, in page order: the rows behind the last one seen, or those before the first one.
+
+        A place is a row's sort values and its id, by which ties are broken (upwards). Missing values come last in
+        either direction. Pages cost a top-k each, however far on they are.
+        """
+        if after is not None and before is not None:
+            raise InvalidQuery("a page is behind a place or before one")
+        order = [(order_by, "asc")] if isinstance(order_by, str) else list(order_by)
+        keys = [*order, ("id", "asc")]
+        rows = self._filtered([*fields, "id"], where or {}, order)
+        place = after if after is not None else before
+        if place is not None:
+            if len(place) != len(keys):
+                raise InvalidQuery("a place has a value for each sort key, and an id")
+            same, hit = F.lit(True), F.lit(False)
+            for (f, d), value in zip(keys, place, strict=True):
+                c, up = F.col(f), (d == "asc") == (after is not None)
+                if value is None:  # behind missing values there are none but missing ones
+                    further = F.lit(False) if after is not None else c.isNotNull()
+                    equal = c.isNull()
+                else:
+                    further = (c > F.lit(value) if up else c < F.lit(value)) | (c.isNull() if after is not None else F.lit(False))
+                    equal = c == F.lit(value)
+                hit = hit | (same & further)
+                same = same & equal
+            rows = rows.where(F.coalesce(hit, F.lit(False)))
+        ahead = [F.col(f).asc_nulls_last() if d == "asc" else F.col(f).desc_nulls_last() for f, d in keys]
+        back = [F.col(f).desc_nulls_first() if d == "asc" else F.col(f).asc_nulls_first() for f, d in keys]
+        rows = rows.orderBy(*(back if before is not None else ahead)).limit(size)
+        rows = rows.orderBy(*ahead) if before is not None else rows
         return rows.select(*[F.col(f) if f == "id" else self._filled(f).alias(f) for f in dict.fromkeys(["id", *fields])])
 
+    def page_totals(self, size: int, where: dict[str, Any] | None = None) -> DataFrame:
+        """How many documents and pages there are, by one partial aggregate."""
+        return self._filtered(["id"], where or {}, []).agg(F.count("*").alias("n")).select("n", F.ceil(F.col("n") / size).cast("bigint").alias("pages"))
+
     def related(self, fields: list[str], child: Documents, via: str, child_fields: list[str], name: str, order_by: tuple[str, str], limit: int) -> DataFrame:
         """Documents with, as an array, the first children that refer to them, in order."""
         f, d = order_by

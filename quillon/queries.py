@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -9,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.hlc import Hlc
-from .functions.ids import id_column, show_id
+from .functions.ids import attribute_id, id_column, show_id
+from .functions.predicates import InvalidQuery
 from .functions.values import Ref
 from .operators import changes, documents, lww, mvcc, scans, validate
 from .plans.compile import Modes, run
 from .plans.query import Query, Var
-from .sources.triples import COLUMNS, TABLES, TripleSource, open_tables
+from .sources.store import EngineError, Store
+from .sources.triples import COLUMNS, TABLES, TripleSource, open_tables, payload, read_triples, write_triples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -22,8 +25,12 @@ V = Var
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    """A folder that driver and executors share, deleted at exit."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    """A folder that driver and executors share, deleted at exit: in spark.checkpoint.dir, which only local sessions may lack."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="quillon-")
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return path.toString()
@@ -104,15 +111,8 @@ def scan_from_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.in_key_order(open_tables(spark, sf_dir).scan(attribute="nation/n_name"), ("nation:2", "nation/n_name")).select("e", "a")
 
 
-@query("SELECT 'part:' || p_partkey AS e, 'part/p_name' AS a FROM part WHERE p_partkey < 50 AND p_partkey % 2 = 0")
-def index_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = open_tables(spark, sf_dir).scan(attribute="part/p_name")
-    keys = spark.range(0, 50, 2).select(F.concat(F.lit("part:"), F.col("id").cast("string")).alias("e"), F.lit("part/p_name").alias("a"))
-    return scans.members(rows, keys)
-
-
 @query("SELECT 'part:' || p_partkey AS e, 'part/p_name' AS a FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)")
-def index_membership_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def index_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The keys come from a whole table: the parts of all line items."""
     rows = open_tables(spark, sf_dir).scan(attribute="part/p_name")
     parts = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey").distinct()
@@ -217,21 +217,21 @@ def bgp_ref_forward_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(open_tables(spark, sf_dir), q, {"n": "id", "name": "str"}, Modes(strict_refs=True))
 
 
+@query("SELECT 'customer:' || c_custkey AS c, n_name AS name, 'region:' || n_regionkey AS r FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def bgp_ref_back_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In the wire's mode an entity that is met first matches the references that follow."""
+    q = Query(["c", "name", "r"]).must(V("n"), "nation/n_name", V("name")).must(V("n"), "nation/n_regionkey", V("r")).must(V("c"), "customer/c_nationkey", V("n"))
+    return run(open_tables(spark, sf_dir), q, {"c": "id", "name": "str", "r": "id"}, Modes(strict_refs=True))
+
+
 @query("SELECT n_name AS name, 'supplier:' || s_suppkey AS s FROM nation JOIN supplier ON s_nationkey = n_nationkey")
 def bgp_ref_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = Query(["name", "s"]).must(V("n"), "nation/n_name", V("name")).must(V("s"), "supplier/s_nationkey", V("n"))
     return run(open_tables(spark, sf_dir), q, {"name": "str", "s": "id"}, Modes(strict_refs=True))
 
 
-@query("SELECT 'supplier:' || s_suppkey AS s, 'customer:' || c_custkey AS c FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE c_mktsegment = 'BUILDING' AND s_suppkey < 20")
-def bgp_value_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = Query(["s", "c"]).must(V("s"), "supplier/s_nationkey", V("n")).must(V("c"), "customer/c_nationkey", V("n")).must(V("c"), "customer/c_mktsegment", "BUILDING")
-    few = q.having("s", lambda v: F.element_at(F.split(v.text, ":"), 2).cast("bigint") < 20)
-    return run(open_tables(spark, sf_dir), few, {"s": "id", "c": "id"})
-
-
 @query("SELECT 'nation:' || s_nationkey AS n, count(*) AS pairs FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE c_mktsegment = 'BUILDING' GROUP BY s_nationkey")
-def bgp_value_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bgp_value_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All suppliers; pairs are counted by the value they share."""
     q = Query(["n"]).must(V("s"), "supplier/s_nationkey", V("n")).must(V("c"), "customer/c_nationkey", V("n")).must(V("c"), "customer/c_mktsegment", "BUILDING")
     return run(open_tables(spark, sf_dir), q, {"n": "id"}).groupBy("n").agg(F.count("*").alias("pairs"))
@@ -282,15 +282,8 @@ def optional_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(open_tables(spark, sf_dir), q, {"c": "id", "o": "id"})
 
 
-@query("SELECT 'orders:' || o_orderkey AS o, n_name AS place FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 100 = 1")
-def optional_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = Query(["o", "place"]).must(V("o"), "orders/o_custkey", V("c")).may(V("c"), "customer/c_nationkey", V("n")).may(V("n"), "nation/n_name", V("place"))
-    q.having("o", lambda v: F.element_at(F.split(v.text, ":"), 2).cast("bigint") % 100 == 1)
-    return run(open_tables(spark, sf_dir), q, {"o": "id", "place": "str"})
-
-
 @query("SELECT 'orders:' || o_orderkey AS o, n_name AS place FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey")
-def optional_chain_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def optional_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders."""
     q = Query(["o", "place"]).must(V("o"), "orders/o_custkey", V("c")).may(V("c"), "customer/c_nationkey", V("n")).may(V("n"), "nation/n_name", V("place"))
     return run(open_tables(spark, sf_dir), q, {"o": "id", "place": "str"})
@@ -338,26 +331,19 @@ def where_not_conjunctive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FLAGSHIP = """SELECT 'customer:' || c_custkey AS c, c_name AS name, n_name AS nation, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS bal
 FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
-WHERE c_mktsegment = 'BUILDING' AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')"""
+WHERE c_mktsegment = 'BUILDING' AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')"""
 
 
 @query(FLAGSHIP)
 def combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = Query(["c", "name", "nation", "bal"]).must(V("c"), "customer/c_mktsegment", "BUILDING").must(V("c"), "customer/c_name", V("name"))
     q.may(V("c"), "customer/c_acctbal", V("bal")).may(V("c"), "customer/c_nationkey", V("n")).may(V("n"), "nation/n_name", V("nation"))
-    q.must_not_all((V("o"), "orders/o_custkey", V("c")), (V("o"), "orders/o_orderstatus", "F"))
+    q.must_not_all((V("o"), "orders/o_custkey", V("c")), (V("o"), "orders/o_orderpriority", "1-URGENT"))
     return run(open_tables(spark, sf_dir), q, {"c": "id", "name": "str", "nation": "str", "bal": "num"})
 
 
-@query("SELECT '#customer:' || c_custkey AS c, ':customer/c_mktsegment' AS a, '\"' || c_mktsegment || '\"' AS v FROM customer WHERE c_custkey < 100")
-def display_datoms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = open_tables(spark, sf_dir)
-    few = wide.scan(attribute="customer/c_mktsegment").where(F.element_at(F.split("e", ":"), 2).cast("bigint") < 100)
-    return run(TripleSource(few), Query(["c", "a", "v"]).must(V("c"), V("a"), V("v")))
-
-
 @query("SELECT '#customer:' || c_custkey AS c, ':customer/c_mktsegment' AS a, '\"' || c_mktsegment || '\"' AS v FROM customer")
-def display_datoms_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def display_datoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All customers."""
     rows = open_tables(spark, sf_dir).scan(attribute="customer/c_mktsegment")
     return run(TripleSource(rows), Query(["c", "a", "v"]).must(V("c"), V("a"), V("v")))
@@ -418,27 +404,17 @@ def document_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ordered(direction: str) -> str:
-    return f"SELECT 'customer:' || c_custkey AS id, coalesce({_BAL}, -1.0) AS c_acctbal FROM customer ORDER BY {_BAL} {direction} NULLS LAST, 'customer:' || c_custkey LIMIT 1400"
+    return f"SELECT 'customer:' || c_custkey AS id, coalesce({_BAL}, -1.0) AS c_acctbal FROM customer ORDER BY {_BAL} {direction} NULLS LAST, 'customer:' || c_custkey"
 
 
 @query(_ordered("ASC"))
 def order_nulls_last_asc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir, "customer").query(["id", "c_acctbal"], order_by=[("c_acctbal", "asc"), ("id", "asc")], limit=1400)
-
-
-@query(_ordered("DESC"))
-def order_nulls_last_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir, "customer").query(["id", "c_acctbal"], order_by=[("c_acctbal", "desc"), ("id", "asc")], limit=1400)
-
-
-@query(_ordered("ASC").removesuffix(" LIMIT 1400"))
-def order_nulls_last_asc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All customers, those without a balance last."""
     return _docs(spark, sf_dir, "customer").query(["id", "c_acctbal"], order_by=[("c_acctbal", "asc"), ("id", "asc")])
 
 
-@query(_ordered("DESC").removesuffix(" LIMIT 1400"))
-def order_nulls_last_desc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(_ordered("DESC"))
+def order_nulls_last_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All customers, those without a balance last."""
     return _docs(spark, sf_dir, "customer").query(["id", "c_acctbal"], order_by=[("c_acctbal", "desc"), ("id", "asc")])
 
@@ -683,10 +659,219 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'part:' || p_partkey AS p, p_name AS name, CAST(p_size AS DOUBLE) AS size FROM part WHERE p_size > 30")
 def stored_star_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triples written by attribute folder and read back: the query's attributes prune folders."""
-    from .sources.triples import read_triples, write_triples
-
     base = _scratch(spark, "triples")
     wide = open_tables(spark, sf_dir)
     write_triples(wide.scan(attribute="part/p_name").unionByName(wide.scan(attribute="part/p_size")).unionByName(wide.scan(attribute="part/p_brand")), base)
     q = Query(["p", "name", "size"]).must(V("p"), "part/p_name", V("name")).must(V("p"), "part/p_size", V("size")).having("size", lambda v: v.num > 30)
     return run(read_triples(spark, base), q, {"p": "id", "name": "str", "size": "num"})
+
+
+# --- paging, ids, legality, stores ---
+
+
+@query("SELECT 'part:' || p_partkey AS id, p_name, CAST(p_size AS DOUBLE) AS p_size FROM part WHERE (p_size < 30 OR p_size = 30 AND p_name > 'a' OR p_size = 30 AND p_name = 'a' AND 'part:' || p_partkey > 'part:1') ORDER BY p_size DESC, p_name, 'part:' || p_partkey LIMIT 30")
+def page_after_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir, "part").page(["p_name", "p_size"], [("p_size", "desc"), ("p_name", "asc")], 30, after=(30.0, "a", "part:1"))
+
+
+@query("SELECT * FROM (SELECT 'customer:' || c_custkey AS id, coalesce(CASE WHEN c_acctbal >= 0 THEN c_acctbal END, -1.0) AS c_acctbal FROM customer WHERE c_acctbal >= 0 AND (c_acctbal < 900 OR c_acctbal = 900 AND 'customer:' || c_custkey < 'customer:5') ORDER BY c_acctbal DESC, 'customer:' || c_custkey DESC LIMIT 25)")
+def page_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The previous page: the rows before the first one seen, nearest first in the SQL, in page order here."""
+    return _docs(spark, sf_dir, "customer").page(["c_acctbal"], [("c_acctbal", "asc")], 25, before=(900.0, "customer:5"))
+
+
+@query("SELECT count(*) AS n, CAST(ceil(count(*) / 40.0) AS BIGINT) AS pages FROM part WHERE p_size > 10")
+def page_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir, "part").page_totals(40, {"p_size": {"greaterThan": 10}})
+
+
+@query("SELECT 'part:' || p_partkey AS id FROM part ORDER BY p_retailprice DESC, p_name, 'part:' || p_partkey LIMIT 25")
+def order_by_unselected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir, "part").query(["id"], order_by=[("p_retailprice", "desc"), ("p_name", "asc"), ("id", "asc")], limit=25)
+
+
+@query("SELECT 'orders:' || o_orderkey AS e, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') >= '1994-06-01' AND strftime(o_orderdate, '%Y-%m-%d') < '1996'")
+def filter_iso_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates are text; ISO dates sort as they should."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    rows = orders.select(F.concat(F.lit("orders:"), "o_orderkey").alias("e"), F.lit("orders/day").alias("a"), *payload(day, "str"))
+    q = Query(["e", "day"]).must(V("e"), "orders/day", V("day")).having("day", lambda v: (v.string >= "1994-06-01") & (v.string < "1996"))
+    return run(TripleSource(rows), q, {"e": "id", "day": "str"})
+
+
+_ATTRIBUTES = [f"{t.name}/{c}" for t in TABLES for c in ("id", *t.columns, *t.refs)]
+_HASHED = "CAST(list_reduce([CAST({} AS UHUGEINT)] || list_transform(string_split(a, ''), lambda x: CAST(ord(x) AS UHUGEINT)), lambda h, b: xor(h, b) * 16777619 % 18446744073709551616) AS VARCHAR)"
+
+
+@query("WITH n(a) AS (VALUES " + ", ".join(f"('{a}')" for a in _ATTRIBUTES) + f") SELECT a, {_HASHED.format(0xCBF29CE484222325)} AS low, {_HASHED.format(0x84222325CBF29CE4)} AS high FROM n")
+def attribute_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of all attributes, as their two numbers."""
+    made = [(a, *(str(int.from_bytes(attribute_id(a)[i : i + 8], "little")) for i in (0, 8))) for a in _ATTRIBUTES]
+    return spark.createDataFrame(made, "a string, low string, high string")
+
+
+@query(_LOG + "SELECT type, count(*) AS n FROM ops WHERE lsn % 5 <> 0 GROUP BY type")
+def intact_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with checksums of which every fifth is changed afterwards."""
+    signed = mvcc.with_checksum(log(spark, sf_dir).where("type <> 'COMMIT'"))
+    return mvcc.intact(signed.withColumn("hlc_l", F.when(F.col("lsn") % 5 == 0, F.col("hlc_l") + 1).otherwise(F.col("hlc_l")))).groupBy("type").agg(F.count("*").alias("n"))
+
+
+_TESTS = ("equals", "notEquals", "contains", "startsWith", "endsWith", "greaterThan", "greaterThanOrEqual", "lessThan", "lessThanOrEqual", "in", "notIn", "isDefined", "isUndefined")
+
+
+@query(f"""SELECT kind, test, CASE WHEN test IN ('equals', 'notEquals', 'in', 'notIn', 'isDefined', 'isUndefined') THEN true WHEN test IN ('contains', 'startsWith', 'endsWith') THEN kind = 'string' ELSE kind = 'number' END AS legal
+FROM (SELECT unnest(['string', 'number', 'boolean', 'ref']) AS kind), (SELECT unnest({list(_TESTS)}) AS test)""")
+def filter_legality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which predicates a field's kind takes, as queries over documents find out."""
+    fields = {"string": ("part", "p_name", "x"), "number": ("part", "p_size", 1), "boolean": ("labels", "toxic", True), "ref": ("customer", "c_nationkey", "nation:1")}
+    found = []
+    for kind, (entity, name, arg) in fields.items():
+        for test in _TESTS:
+            given = [arg] if test in ("in", "notIn") else True if test.startswith("is") else arg
+            try:
+                _docs(spark, sf_dir, entity).query(["id"], {name: {test: given}})
+                found.append((kind, test, True))
+            except InvalidQuery:
+                found.append((kind, test, False))
+    return spark.createDataFrame(found, "kind string, test string, legal boolean")
+
+
+@query("""SELECT how, field, CASE WHEN how NOT IN ('count', 'sum', 'avg', 'min', 'max') THEN false WHEN field = '*' THEN how = 'count' WHEN how IN ('sum', 'avg') THEN field = 'c_acctbal' ELSE true END AS legal
+FROM (SELECT unnest(['count', 'sum', 'avg', 'min', 'max', 'median']) AS how), (SELECT unnest(['*', 'c_acctbal', 'c_name']) AS field)""")
+def aggregate_legality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, found = _docs(spark, sf_dir, "customer"), []
+    for how in ("count", "sum", "avg", "min", "max", "median"):
+        for name in ("*", "c_acctbal", "c_name"):
+            try:
+                docs.aggregate({"x": (how, name)})
+                found.append((how, name, True))
+            except InvalidQuery:
+                found.append((how, name, False))
+    return spark.createDataFrame(found, "how string, field string, legal boolean")
+
+
+@query(_VERSIONS + "SELECT count(*) AS n FROM ver")
+def count_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All versions, the ended ones too."""
+    return scans.count(mvcc.versions(log(spark, sf_dir)))
+
+
+@query(_VERSIONS + "SELECT a, n FROM ver WHERE deleted_txn = 0 AND e = 'user:3' UNION ALL SELECT 'entities', count(DISTINCT e) FROM ver WHERE deleted_txn = 0 AND a = (SELECT min(a) FROM ver)")
+def current_state_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a writing transaction reads: live rows of an entity, and the entities of an attribute."""
+    live = scans.snapshot(mvcc.versions(log(spark, sf_dir)))
+    first = mvcc.versions(log(spark, sf_dir)).agg(F.min("a").alias("a"))
+    own = live.join(F.broadcast(first), "a", "left_semi").select("e").distinct()
+    return scans.entity(live, "user:3").select("a", "n").unionByName(own.agg(F.lit("entities").alias("a"), F.count("*").cast("double").alias("n")))
+
+
+@query(_VERSIONS + "SELECT 120 AS held, count(*) AS n FROM ver WHERE NOT (deleted_txn <> 0 AND deleted_txn < 120) UNION ALL SELECT 90, count(*) FROM ver WHERE NOT (deleted_txn <> 0 AND deleted_txn < 90) UNION ALL SELECT 0, count(*) FROM ver WHERE deleted_txn = 0")
+def held_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbage collection spares what the oldest held snapshot sees; 0 stands for none held."""
+    rows, held, out = mvcc.versions(log(spark, sf_dir)), mvcc.Snapshots(), None
+    for step, txn in ((held.acquire, 120), (held.acquire, 90), (held.release, 90), (held.release, 120)):
+        step(txn)
+        if step == held.release and txn == 90:
+            continue
+        left = mvcc.collect_garbage(rows, held.min_active).agg(F.lit(held.min_active or 0).alias("held"), F.count("*").alias("n"))
+        out = left if out is None else out.unionByName(left)
+    return out
+
+
+@query("SELECT DISTINCT source AS key, regexp_full_match(source, '[A-Za-z0-9_-]{1,256}') AS ok FROM documents UNION SELECT DISTINCT c_name, regexp_full_match(c_name, '[A-Za-z0-9_-]{1,256}') FROM customer")
+def api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("key")).unionByName(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_name").alias("key")))
+    return keys.distinct().select("key", validate.valid_api_key(F.col("key")).alias("ok"))
+
+
+def _filled_store(spark: SparkSession, sf_dir: str, root: str) -> Store:
+    """Two commits of updates by two connections, and two that must not count: an empty one and one that is refused."""
+    store, u, even = Store(spark, root, "app"), updates(spark, sf_dir), (F.col("arrival") % 10_000_000) % 2 == 0
+    store.upsert(u.where(even), 1)
+    store.upsert(u.limit(0), 1)
+    late = Store(spark, root, "app")
+    publish = late._publish
+
+    def refused(mark: dict) -> None:
+        store.upsert(u.where(~even), 2)
+        publish(mark)
+
+    late._publish = refused
+    try:
+        late.upsert(u.withColumn("n", F.lit(-1.0)).withColumn("hlc_p", (F.col("hlc_p") + 10**9).cast("decimal(20,0)")), 3)
+    except EngineError:
+        return store
+    raise AssertionError("a writer that came too late was not refused")
+
+
+_STORED = _UPDATES + """, top AS (SELECT e, a, max((p, l, node)) AS t, arg_max(n, (p, l, node)) AS n FROM u WHERE event_id % 2 = 0 GROUP BY e, a),
+o AS (SELECT u.*, t, max((p, l, node)) OVER (PARTITION BY u.e, u.a ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM u LEFT JOIN top ON u.e = top.e AND u.a = top.a WHERE event_id % 2 = 1),
+fresh AS (SELECT * FROM o WHERE (t IS NULL OR (p, l, node) > t) AND (b IS NULL OR (p, l, node) > b)) """
+
+
+@query(_UPDATES + "SELECT e, a, arg_max(n, (p, l, node)) AS n FROM u GROUP BY e, a")
+def store_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inserts, updates, an empty batch and a refused writer: the live rows."""
+    return _filled_store(spark, sf_dir, _scratch(spark, "commits")).source().scan().select("e", "a", "n")
+
+
+@query(_STORED + "SELECT e, a, n, 1 AS created_txn FROM top UNION ALL SELECT e, a, arg_max(n, (p, l, node)), 2 FROM fresh GROUP BY e, a")
+def store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The versions of the same store, read from a base written between the commits and the operations behind it."""
+    store = _filled_store(spark, sf_dir, _scratch(spark, "versions"))
+    store.compact(min_active=1)
+    return store.rows().select("e", "a", "n", "created_txn")
+
+
+@query(_UPDATES + "SELECT e, a, arg_max(n, (p, l, node)) AS n FROM u WHERE a <> 'events/click' GROUP BY e, a")
+def store_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of one attribute are deleted in a transaction of their own."""
+    store = _filled_store(spark, sf_dir, _scratch(spark, "deletes"))
+    gone = store.source().scan(attribute="events/click").select("e", "a")
+    if not gone.isEmpty():
+        store.delete(gone, Hlc(2**50))
+    return store.source().scan().select("e", "a", "n")
+
+
+@query(_STORED + "SELECT 'first' AS listener, CASE WHEN t IS NULL AND b IS NULL THEN 'INSERT' ELSE 'UPDATE' END AS change_type, e, a, n FROM fresh UNION ALL SELECT 'second', CASE WHEN t IS NULL AND b IS NULL THEN 'INSERT' ELSE 'UPDATE' END, e, a, n FROM fresh")
+def store_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two listeners of the first connection hear what the second committed, and nothing of the refused writer."""
+    from .session import Engine
+
+    base = _scratch(spark, "listen")
+    engine = Engine(spark, f"{base}/data")
+    _filled_store(spark, sf_dir, f"{base}/data")
+    me = engine.connect().open("app")
+    for name in ("first", "second"):
+        each = lambda batch, name=name: batch.withColumn("listener", F.lit(name)).write.mode("append").parquet(f"{base}/heard")
+        me.subscribe(name, each, f"{base}/checkpoint-{name}").awaitTermination()
+        me.unsubscribe(name)
+    return spark.read.parquet(f"{base}/heard").select("listener", "change_type", "e", "a", "n")
+
+
+def _formats(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
+    base = _scratch(spark, form)
+    rows = open_tables(spark, sf_dir).scan(attribute="supplier/s_name").unionByName(open_tables(spark, sf_dir).scan(attribute="supplier/s_acctbal"))
+    write_triples(rows, base, form)
+    q = Query(["s", "name", "bal"]).must(V("s"), "supplier/s_name", V("name")).may(V("s"), "supplier/s_acctbal", V("bal"))
+    return run(read_triples(spark, base, form=form), q, {"s": "id", "name": "str", "bal": "num"})
+
+
+_SUPPLIERS = "SELECT 'supplier:' || s_suppkey AS s, s_name AS name, CASE WHEN s_acctbal >= 0 THEN s_acctbal END AS bal FROM supplier"
+
+
+@query(_SUPPLIERS)
+def triples_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _formats(spark, sf_dir, "json")
+
+
+@query(_SUPPLIERS)
+def triples_as_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _formats(spark, sf_dir, "csv")
+
+
+@query(_SUPPLIERS)
+def triples_as_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _formats(spark, sf_dir, "orc")

@@ -162,16 +162,24 @@ def explode_wide(source: WideSource) -> DataFrame:
     return source.scan()
 
 
-def write_triples(df: DataFrame, path: str) -> None:
+def write_triples(df: DataFrame, path: str, form: str = "parquet") -> None:
     """One folder an attribute, sorted by entity, so that attribute scans prune folders and entity scans row groups.
 
-    Ranges of both keys are dealt out, so a common attribute is written by many tasks.
+    Ranges of both keys are dealt out, so a common attribute is written by many tasks. form: parquet, orc, json or csv.
     """
-    df.repartitionByRange("a", "e").sortWithinPartitions("a", "e").write.mode("overwrite").partitionBy("a").parquet(path)
+    rows = df.repartitionByRange("a", "e").sortWithinPartitions("a", "e")
+    rows.write.mode("overwrite").partitionBy("a").options(**_options(form)).format(form).save(path)
 
 
-def read_triples(spark: SparkSession, path: str, single: bool = True) -> TripleSource:
-    return TripleSource(spark.read.parquet(path), single)
+def read_triples(spark: SparkSession, path: str, single: bool = True, form: str = "parquet") -> TripleSource:
+    return TripleSource(spark.read.schema(SCHEMA).options(**_options(form)).format(form).load(path), single)
+
+
+def _options(form: str) -> dict[str, str]:
+    """In CSV a missing value is told from an empty text by a mark of its own; quotes and line breaks are kept."""
+    if form not in ("parquet", "orc", "json", "csv"):
+        raise ValueError(f"unknown format {form!r}")
+    return {"header": "true", "multiLine": "true", "escape": '"', "nullValue": "\\N", "emptyValue": ""} if form == "csv" else {}
 
 
 #: The driver's tables as entity types.

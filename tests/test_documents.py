@@ -82,6 +82,29 @@ def test_pages_cover_everything_once(users):
     assert seen == ["u3", "u1", "u2", "u4"]
 
 
+@pytest.mark.parametrize("order", [[("age", "asc")], [("age", "desc")], [("active", "desc"), ("age", "asc")], [("name", "asc"), ("age", "desc")]])
+def test_pages_in_both_directions(users, order):
+    """Forth from the start and back from the end, page by page: the whole order each time."""
+    keys = [f for f, _ in order]
+    raw = {r[0]: r[1:] for r in got(users._raw(keys).select("id", *keys))}
+    want = [r[0] for r in got(users.query(["id"], order_by=[*order, ("id", "asc")]))]
+    for size in (1, 2, 3):
+        seen, at = [], None
+        while page := got(users.page(keys, order, size, after=at)):
+            seen += [r[0] for r in page]
+            at = (*raw[seen[-1]], seen[-1])
+        assert seen == want
+        back, at = [], (*raw[want[-1]], want[-1])
+        while page := got(users.page(keys, order, size, before=at)):
+            back = [r[0] for r in page] + back
+            at = (*raw[back[0]], back[0])
+        assert back == want[:-1]
+    assert got(users.page_totals(3)) == [(4, 2)]
+    for bad in ({"after": (1,)}, {"after": (1, "a"), "before": (1, "a")}):
+        with pytest.raises(InvalidQuery):
+            users.page(keys[:1], keys[0], 2, **bad)
+
+
 def test_relations(users):
     rows = {r.id: [x.id for x in r.staff] if r.staff else None for r in users.related(["id"], users, "boss", ["id", "name"], "staff", ("name", "desc"), 1).collect()}
     assert rows == {"u1": ["u3"], "u2": None, "u3": None, "u4": None}

@@ -37,5 +37,5 @@ def test_same_rows_as_sql(spark, duck, name):
 def test_entry(spark):
     import __spark_entry__ as e
 
-    assert e.entry(spark).columns == ["c", "name", "nation", "bal"]
+    assert e.entry(spark).columns == ["c", "name", "nation", "bal"] and e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
