@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from .auth import AuthError, Verifier
 from .functions.hlc import Clock, Hlc
 from .functions.predicates import InvalidQuery
 from .operators import lww, validate
@@ -27,8 +28,8 @@ from .streaming import feed
 class Engine:
     """All stores below one folder; a store is opened when it is first asked for and shared by its connections."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: str, verifier: Verifier | None = None):
+        self.spark, self.root, self.verifier = spark, root, verifier
         self.stores: dict[str, Store] = {}
         self.snapshots: dict[str, Snapshots] = {}
         self._next = 0
@@ -98,11 +99,17 @@ class Connection:
         self.clock = Clock(number)
         self._store: Store | None = None
         self.api_key = ""
+        self.user: str | None = None
         self.subscriptions: dict[str, StreamingQuery] = {}
 
-    def open(self, api_key: str) -> Connection:
+    def open(self, api_key: str, token: str | None = None) -> Connection:
+        """Open the store of an API key; where users sign in, a token is needed, and its subject becomes the user."""
         if self._store is not None:
             raise EngineError("the connection is open already")
+        if self.engine.verifier is not None:
+            if token is None:
+                raise AuthError("a token is needed")
+            self.user = self.engine.verifier.user(token)
         self._store, self.api_key = self.engine.store(api_key), api_key
         return self
 
