@@ -851,6 +851,20 @@ def store_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/heard").select("listener", "change_type", "e", "a", "n")
 
 
+@query("""WITH d AS (SELECT doc_id // 3 AS request_id, doc_id AS seq, 'doc:' || doc_id AS e, text AS s, strlen(text) > 1024 OR strlen(text) < 1 AS bad FROM documents),
+b AS (SELECT request_id, min(seq) AS seq FROM d WHERE bad GROUP BY request_id)
+SELECT request_id, seq, s, CAST(NULL AS VARCHAR) AS error FROM d WHERE request_id NOT IN (SELECT request_id FROM b) UNION ALL SELECT request_id, seq, NULL, 'string_length' FROM b""")
+def session_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A connection opens its store, sends requests of three documents each, and hears of each what is stored or wrong."""
+    from .session import Engine
+
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    none = lambda t: F.lit(None).cast(t)
+    requests = d.select(F.floor(F.col("doc_id") / 3).cast("bigint").alias("request_id"), F.col("doc_id").alias("seq"), F.col("doc_id").alias("arrival"), F.concat(F.lit("doc:"), "doc_id").alias("e"), F.lit("documents/text").alias("a"), F.lit("str").alias("kind"), F.col("text").alias("s"), none("double").alias("n"), none("boolean").alias("b"), F.lit(1).cast("decimal(20,0)").alias("hlc_p"), F.lit(0).cast("bigint").alias("hlc_l"), F.lit(0).cast("bigint").alias("hlc_n"))
+    me = Engine(spark, _scratch(spark, "session")).connect().open("app")
+    return me.update(requests).select("request_id", "seq", "s", "error")
+
+
 def _formats(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
     base = _scratch(spark, form)
     rows = open_tables(spark, sf_dir).scan(attribute="supplier/s_name").unionByName(open_tables(spark, sf_dir).scan(attribute="supplier/s_acctbal"))

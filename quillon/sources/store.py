@@ -113,9 +113,14 @@ class Store:
         behind = [m for m in marks if m["txn"] > base]
         return mvcc.extend(held, self._read(LOG, behind)).select(*held.columns) if behind else held
 
+    def log_start(self) -> int:
+        """The transaction up to which operations have been given up; 0 if none have."""
+        return max((m.get("log_from", 0) for m in self.marks()), default=0)
+
     def log(self, since_txn: int = 0) -> DataFrame:
-        """Operations of committed transactions, those behind a transaction."""
-        return self._read(LOG, [m for m in self.marks() if m["kind"] == "ops" and m["txn"] > since_txn])
+        """Operations of committed transactions, those behind a transaction and not given up."""
+        start = max(since_txn, self.log_start())
+        return self._read(LOG, [m for m in self.marks() if m["kind"] == "ops" and m["txn"] > start])
 
     def log_stream(self, commits_per_trigger: int | None = None) -> DataFrame:
         """The marks of commits as a stream; operations of a batch of them are read by operations()."""
@@ -126,8 +131,14 @@ class Store:
         return reader.json(f"{self.path}/commits")
 
     def operations(self, marks: DataFrame) -> DataFrame:
-        """The operations of a batch of marks, which has a row for each commit."""
-        return self._read(LOG, [r.asDict() for r in marks.where("kind = 'ops'").orderBy("txn").collect()])
+        """The operations of a batch of marks, which has a row for each commit.
+
+        A reader that comes too late for operations that were given up is told so, and has to start from a snapshot.
+        """
+        wanted, start = [r.asDict() for r in marks.where("kind = 'ops'").orderBy("txn").collect()], self.log_start()
+        if wanted and wanted[0]["txn"] <= start:
+            raise EngineError(f"operations up to transaction {start} are gone; start again from a snapshot")
+        return self._read(LOG, wanted)
 
     def source(self, txn: int | None = None) -> TripleSource:
         from ..operators.scans import snapshot
@@ -183,17 +194,21 @@ class Store:
 
     # --- maintenance ---
 
-    def compact(self, min_active: int | None = None) -> int:
+    def compact(self, min_active: int | None = None, keep_commits: int | None = None) -> int:
         """Checkpoint and garbage collection: a base without versions that no snapshot sees.
 
-        Earlier bases go, but for the one before, which open readers may still hold; the log stays.
+        Earlier bases go, but for the one before, which open readers may still hold. The log stays, or its last
+        keep_commits commits do; readers that are further behind are told so.
         """
         txn, last = self._next()
         folder = self._folder(txn)
         mvcc.collect_garbage(self.rows(), min_active).write.parquet(f"{self.path}/data/{folder}")
-        self._publish({"txn": txn, "folder": folder, "kind": "base", "lsn": last})
+        ops = [m for m in self.marks() if m["kind"] == "ops"]
+        given_up = ops[: max(0, len(ops) - keep_commits)] if keep_commits is not None else []
+        start = max(self.log_start(), given_up[-1]["txn"] if given_up else 0)
+        self._publish({"txn": txn, "folder": folder, "kind": "base", "lsn": last, "log_from": start})
         bases = [m for m in self.marks() if m["kind"] == "base"]
-        for old in bases[:-2]:
+        for old in [*bases[:-2], *(m for m in ops if m["txn"] <= start)]:
             self._fs.delete(self._at(f"data/{old['folder']}"), True)
         return txn
 
@@ -207,4 +222,4 @@ class Store:
         """Counters of recovery and checkpoints: commits, those that a start has to replay, bases and the last position."""
         marks = self.marks()
         base = max((m["txn"] for m in marks if m["kind"] == "base"), default=0)
-        return {"version": self.version(), "last_lsn": marks[-1]["lsn"] if marks else 0, "commits": sum(m["kind"] == "ops" for m in marks), "bases": sum(m["kind"] == "base" for m in marks), "to_replay": sum(m["txn"] > base for m in marks), "checkpoint_txn": base}
+        return {"version": self.version(), "last_lsn": marks[-1]["lsn"] if marks else 0, "commits": sum(m["kind"] == "ops" for m in marks), "bases": sum(m["kind"] == "base" for m in marks), "to_replay": sum(m["txn"] > base for m in marks), "checkpoint_txn": base, "log_from": self.log_start()}

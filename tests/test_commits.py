@@ -101,7 +101,7 @@ def test_bases_and_operations_give_the_same_versions(spark, tmp_path):
     want = [("a", "2", 1, 2), ("a", "3", 2, 0), ("b", "1", 1, 0)]
     assert versions(s) == want and s.statistics()["to_replay"] == 2
     assert s.maintain(commits=9) is None and s.maintain(min_active=1, commits=2) == 3
-    assert versions(s) == want and s.statistics() == {"version": 3, "last_lsn": s.statistics()["last_lsn"], "commits": 2, "bases": 1, "to_replay": 0, "checkpoint_txn": 3}
+    assert versions(s) == want and s.statistics() == {"version": 3, "last_lsn": s.statistics()["last_lsn"], "commits": 2, "bases": 1, "to_replay": 0, "checkpoint_txn": 3, "log_from": 0}
     s.upsert(upd(spark, [("b", "2", 9), ("c", "1", 9)]))
     assert versions(s) == [("a", "2", 1, 2), ("a", "3", 2, 0), ("b", "1", 1, 4), ("b", "2", 4, 0), ("c", "1", 4, 0)]
     for _ in range(3):
@@ -111,6 +111,21 @@ def test_bases_and_operations_give_the_same_versions(spark, tmp_path):
     assert [r.lsn for r in s.log().orderBy("lsn").collect()] == sorted({r.lsn for r in s.log().collect()})
 
 
+def test_a_log_that_is_cut(spark, tmp_path):
+    """The last commits stay; a listener that is further behind is told so, a new one starts with what is there."""
+    engine = Engine(spark, f"file://{tmp_path}/data")
+    me, you = engine.connect().open("app"), engine.connect().open("app")
+    for k in range(4):
+        you.store.upsert(upd(spark, [("k", str(k), k + 1)]), you.number)
+    assert you.store.compact(keep_commits=2) == 5 and you.store.log_start() == 2
+    assert [r.s for r in you.store.log().orderBy("lsn").collect()] == ["2", "3"] and live(me.store) == {"k": "3"}
+    with pytest.raises(EngineError, match="snapshot"):
+        me.store.operations(spark.createDataFrame([(2, "x", "ops", 1)], "txn long, folder string, kind string, lsn long"))
+    you.store.upsert(upd(spark, [("k", "4", 9)]), you.number)
+    assert live(me.store) == {"k": "4"} and [r.s for r in you.store.log(4).collect()] == ["4"]
+    assert you.store.compact(keep_commits=0) == 7 and you.store.log().count() == 0 and live(me.store) == {"k": "4"}
+
+
 def test_background_maintenance(spark, tmp_path):
     import time
 
