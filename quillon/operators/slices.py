@@ -1,7 +1,8 @@
 """Running values along a key without all of its rows in one task.
 
-Rows of a key are cut into slices of their order (SLICE_BITS: so many consecutive numbers make a slice). Within a slice
-a window does; across slices one row each is enough, and comes back by a join.
+The order's range is cut into SLICES equal parts. Within a slice of a key a window does; across slices one row each is
+enough, SLICES rows of a key at most, and comes back by a join. So a key that has all of the rows is spread over SLICES
+tasks, as far as its numbers are spread over their range. The range comes from a subquery of the same plan.
 """
 
 from __future__ import annotations
@@ -9,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A slice has 2**20 consecutive numbers: as many rows at most where the order is a numbering.
-SLICE_BITS = 20
+SLICES = 1024
 
 
 def _across(df: DataFrame, keys: tuple[str, ...], order: str, summary: Column, along) -> DataFrame:
     """df with __slice, and __far: along (a window function of summary) over the slices of a key."""
-    cut = df.withColumn("__slice", F.shiftright(F.col(order).cast("bigint"), SLICE_BITS))
+    ends = df.agg(F.struct(F.min(order).cast("bigint").alias("low"), F.max(order).cast("bigint").alias("high"))).scalar()
+    part = (ends["high"].cast("double") - ends["low"].cast("double") + 1) / SLICES
+    cut = df.withColumn("__slice", F.floor((F.col(order).cast("double") - ends["low"].cast("double")) / part).cast("int"))
     each = cut.groupBy(*keys, "__slice").agg(summary.alias("__sum"))
     far = each.select(*[F.col(k).alias(f"__key_{i}") for i, k in enumerate(keys)], F.col("__slice").alias("__at"), along("__sum", Window.partitionBy(*keys).orderBy("__slice")).alias("__far"))
     same = F.col("__slice") == F.col("__at")

@@ -10,8 +10,8 @@ from quillon.sources.triples import open_tables
 
 def test_against_loops(spark, monkeypatch):
     r = random.Random(3)
-    for bits in (0, 2, 20):
-        monkeypatch.setattr(slices, "SLICE_BITS", bits)
+    for n in (1, 7, 1024):
+        monkeypatch.setattr(slices, "SLICES", n)
         rows = [(r.choice(["a", "b", None]), i * r.choice([1, 3]) + 1000 * i, r.randrange(50)) for i in range(120)]
         df = spark.createDataFrame(rows, "k string, i long, v long")
         before = {x.i: x.m for x in slices.max_before(df, ("k",), "i", "v", "m").collect()}
@@ -22,6 +22,16 @@ def test_against_loops(spark, monkeypatch):
             assert after[i] == next((w for j, w in mine if j > i), None)
 
 
+def test_a_key_with_all_rows_is_spread(spark):
+    """However far apart its numbers are."""
+    for step in (1, 10_000_019):
+        df = spark.range(50_000).select(F.lit("k").alias("k"), (F.col("id") * step).alias("i"), F.col("id").alias("v"))
+        cut = slices._across(df, ("k",), "i", F.max("v"), lambda c, w: F.max(c).over(w))
+        sizes = [r["count"] for r in cut.groupBy("k", "__slice").count().collect()]
+        assert len(sizes) == slices.SLICES and max(sizes) < 60
+    assert slices.max_before(df.limit(0), ("k",), "i", "v", "m").collect() == []
+
+
 def test_point_reads_reach_the_scan(spark):
     wide = open_tables(spark, "/root/testdata/sf0.001")
     for df in (wide.scan("customer:7", "customer/c_name"), wide.scan("orders:32")):
