@@ -23,6 +23,8 @@ from .common import at, columns_but, lower_ascii, packed, unpacked
 
 #: Rule indexes up to this many rules are broadcast (some 200 bytes each); larger ones are joined by a shuffle.
 MAX_BROADCAST_RULES = 200_000
+#: Tokens up to this many stand in the plan itself, more in a table; rules of one file, which the driver holds.
+MAX_LISTED_TOKENS, MAX_RULES = 200, 5_000_000
 
 
 @dataclass(frozen=True)
@@ -94,6 +96,23 @@ def compile_rule(rule: UrlRule) -> tuple[str, list[str]]:
     return regex, [m[0] for m in _TOKEN.finditer(low) if not (open_end and m.end() == len(low))]
 
 
+def read_rules(spark: SparkSession, path: str) -> list[UrlRule]:
+    """Rules from a text file, one a line: `prefix:host/path`, `word:` a word of hosts, all else a glob.
+
+    `@@` before a rule allows. Empty lines and those that begin with `!` are passed over. Rules come in order of their
+    text, each once.
+    """
+    lines = spark.read.text(path).select(F.btrim("value").alias("line")).where("line <> '' AND line NOT LIKE '!%'").distinct().limit(MAX_RULES + 1).collect()
+    if len(lines) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    found = []
+    for line in sorted(r.line for r in lines):
+        action, text = ("allow", line[2:]) if line.startswith("@@") else ("block", line)
+        kind = {"prefix": "prefix", "word": "host_word"}.get(text.partition(":")[0], "glob") if ":" in text else "glob"
+        found.append(UrlRule(text if kind == "glob" else text.partition(":")[2], action, kind))
+    return found
+
+
 def _parts(url):
     """Host and path of a URL column, as the contract cuts them."""
     at = F.instr(url, "://")
@@ -110,7 +129,12 @@ def _tokens(url):
 
 def token_counts(df: DataFrame, tokens: Sequence[str], url: str = "url") -> dict[str, int]:
     """How many URLs hold each of the given tokens; counted over all rows, the result is as small as the token list."""
-    found = df.select(F.explode(_tokens(at(url))).alias("token")).where(F.col("token").isin(list(tokens)))
+    found = df.select(F.explode(_tokens(at(url))).alias("token"))
+    if len(tokens) <= MAX_LISTED_TOKENS:
+        found = found.where(F.col("token").isin(list(tokens)))
+    else:
+        wanted = df.sparkSession.createDataFrame([(t,) for t in tokens], "token string")
+        found = found.join(F.broadcast(wanted) if len(tokens) <= MAX_BROADCAST_RULES else wanted, "token", "left_semi")
     return {r[0]: r[1] for r in found.groupBy("token").count().collect()}
 
 

@@ -59,3 +59,26 @@ def test_rules_are_filed_under_their_rarest_token(spark):
     for bad in (u.UrlRule("a", "maybe"), u.UrlRule("a b", "block", "host_word"), u.UrlRule("a", "block", "odd")):
         with pytest.raises(ValueError):
             u.compile_rule(bad)
+
+
+def test_ten_thousand_rules_from_a_file(spark, tmp_path):
+    """One of them under no token; against a loop over the rules for each of 300 URLs."""
+    import random
+
+    r = random.Random(5)
+    lines = [f"prefix:h{k}.com/p{k % 7}" for k in range(4000)] + [f"@@prefix:h{k}.com/p{k % 7}/ok" for k in range(0, 4000, 3)] + [f"word:bad{k}" for k in range(3000)]
+    lines += [f"||t{k}.net^" for k in range(1500)] + [f"/path{k}/*.gif|" for k in range(500)] + ["z*q^x", "! a remark", "", "@@||t7.net^good"]
+    (tmp_path / "rules.txt").write_text("\n".join(lines))
+    rules = u.read_rules(spark, f"file://{tmp_path}/rules.txt")
+    assert len(rules) > 10_000 and u.UrlRule("h3.com/p3/ok", "allow") in rules and u.UrlRule("bad5", "block", "host_word") in rules
+    prefixes, patterns = [x for x in rules if x.kind == "prefix"], [x for x in rules if x.kind != "prefix"]
+    urls = [f"http://{r.choice(['', 'www.', 'bad%d.' % r.randrange(4000)])}{r.choice(['h%d.com' % r.randrange(4500), 't%d.net' % r.randrange(1800), 't7.net'])}/{r.choice(['p%d' % r.randrange(7), 'p%d/ok' % r.randrange(7), 'path%d/a.gif' % r.randrange(600), 'z1q/x', 'good'])}" for _ in range(300)]
+    got = {x.page_id: x for x in u.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), prefixes, patterns).collect()}
+    made = [(x, re.compile(u.compile_rule(x)[0])) for x in patterns]
+    for i, url in enumerate(urls):
+        host, path = re.match(r"http://([^/]*)(.*)", url).groups()
+        fits = [x for x in prefixes if (host == x.text.split("/")[0] or host.endswith("." + x.text.split("/")[0])) and path.startswith("/" + x.text.split("/", 1)[1])]
+        hits = [x for x, p in made if p.search(url)]
+        want = max(fits, key=lambda x: len(x.text)).action if fits else "allow" if any(x.action == "allow" for x in hits) else "block" if hits else "allow"
+        assert got[i].verdict == want, url
+    assert {x.verdict for x in got.values()} == {"allow", "block"} and any(x.pattern == "z*q^x" for x in got.values())
