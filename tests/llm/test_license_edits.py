@@ -92,3 +92,12 @@ def test_winnowing_keeps_one_of_each_window():
         at = licenses.winnow(g, w)
         assert all(any(i <= p < i + w for p in at) for i in range(len(g) - w + 1))
         assert len(at) <= len(g)
+
+
+def test_templates_from_a_folder(spark, tmp_path):
+    for name, text in (("Mine-1.0.txt", "You may do as you like with all of this."), ("Other", "Ask me first, please, and then do it.")):
+        (tmp_path / name).write_text(text)
+    made = licenses.read_templates(spark, f"file://{tmp_path}")
+    assert sorted(made) == ["Mine-1.0", "Other"]
+    rows = licenses.scan_licenses(docs(spark, ["so you may do as you like with most of this", None]), templates=made).collect()
+    assert [[(x.license, x.n_matched) for x in r.licenses] for r in sorted(rows, key=lambda r: r.doc_id)] == [[("Mine-1.0", 9)], []]
