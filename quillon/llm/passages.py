@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work, at, columns_but, map_batches, packed, spread_join, unpacked, unused
+from .common import Work, at, columns_but, map_batches, packed, process_cache, spread_join, unpacked, unused
 from .line_dedup import BROADCAST_POSITIONS, _row_key
 from .shingles import mix, windows, word_hashes
 
@@ -34,32 +34,43 @@ def _hashes(text: str | None) -> np.ndarray:
 
 def _stretches(h: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
     """The hash of the words from each start to before its end: a difference of sums of powers, brought to place 0."""
-    n, factor = len(h), _FACTORS[which]
-    power, back = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, f, np.uint64)])) for f in (factor, pow(factor, -1, 1 << 64)))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(h) * power[:n])])
+    power, back = _powers(which, len(h))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(h) * power[: len(h)])])
     return mix((sums[end] - sums[start]) * back[start])
 
 
-def anchors(h: np.ndarray, passage: int, anchor: int) -> np.ndarray:
-    """The anchor of every window of a passage's words."""
+def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of a factor from 0 to n at least, and of its inverse, kept in a worker."""
+    cache = process_cache()
+    held = cache.get(("passages", which))
+    if held is None or len(held[0]) <= n:
+        size = max(1 << 16, 1 << n.bit_length())
+        factors = _FACTORS[which], pow(_FACTORS[which], -1, 1 << 64)
+        held = cache["passages", which] = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, f, np.uint64)])) for f in factors)
+    return held
+
+
+def anchors(h: np.ndarray, passage: int, anchor: int, g: np.ndarray | None = None) -> np.ndarray:
+    """The anchor of every window of a passage's words; g: the hashes of all anchors, if they are there."""
     if len(h) < passage:
         return np.zeros(0, np.uint64)
-    g, runs = windows(h, anchor), passage - anchor + 1
-    low = g[: len(g) - runs + 1].copy()
-    for j in range(1, runs):
-        np.minimum(low, g[j : j + len(low)], out=low)
-    return low
+    g, runs = windows(h, anchor) if g is None else g, passage - anchor + 1
+    low, width = g, 1
+    while 2 * width <= runs:  # windows of one, two, four ... places
+        low, width = np.minimum(low[:-width], low[width:]), 2 * width
+    return np.minimum(low[: len(g) - runs + 1], low[runs - width :]) if width < runs else low
 
 
 def blocks(h: np.ndarray, passage: int, anchor: int) -> tuple[np.ndarray, ...]:
     """(anchor, hash of the words, odd, first window, windows) of every block; odd: windows of it may be equal."""
-    low = anchors(h, passage, anchor)
+    g = windows(h, anchor) if len(h) >= passage else h
+    low = anchors(h, passage, anchor, g)
     at = np.flatnonzero(np.concatenate([np.ones(min(1, len(low)), bool), low[1:] != low[:-1]]))
     n = np.diff(np.append(at, len(low)))
     if not len(at):
         return low, low, np.zeros(0, bool), at, n
     # Two places of an anchor in one block lie in a run, or the windows between would have another.
-    g, own = windows(h, anchor), low[at]
+    own = low[at]
     place = np.flatnonzero(np.isin(g, own))
     place = place[np.argsort(g[place], kind="stable")]
     near = (g[place[1:]] == g[place[:-1]]) & (np.diff(place) <= passage - anchor + 1)
