@@ -25,7 +25,7 @@ def versions(log: DataFrame, keys: tuple[str, ...] = ("e", "a")) -> DataFrame:
     rest = [c for c in log.columns if c not in (*keys, "txn")]
     last = log.where(F.col("type").isin(*OPS)).groupBy(*keys, "txn").agg(F.max_by(F.struct(*rest), "lsn").alias("w"))
     ops = last.select(*[F.col("w")[c].alias(c) if c in rest else F.col(c) for c in log.columns])
-    out = next_of(ops, keys, "lsn", "txn", "__end").withColumn("deleted_txn", F.coalesce("__end", F.lit(0).cast("bigint"))).drop("__end").withColumnRenamed("txn", "created_txn")
+    out = next_of(ops, keys, "lsn", "txn", "__end", log).withColumn("deleted_txn", F.coalesce("__end", F.lit(0).cast("bigint"))).drop("__end").withColumnRenamed("txn", "created_txn")
     return out.where("type <> 'DELETE'").drop("type", "lsn")
 
 

@@ -13,29 +13,30 @@ from pyspark.sql import functions as F
 SLICES = 1024
 
 
-def _across(df: DataFrame, keys: tuple[str, ...], order: str, summary: Column, along) -> DataFrame:
-    """df with __slice, and __far: along (a window function of summary) over the slices of a key."""
-    ends = df.agg(F.struct(F.min(order).cast("bigint").alias("low"), F.max(order).cast("bigint").alias("high"))).scalar()
+def _across(df: DataFrame, keys: tuple[str, ...], order: str, summary: Column, along, bounds: DataFrame | None = None) -> DataFrame:
+    """df with __key, __slice, and __far: along (a window function of summary) over the slices of a key.
+
+    A key is one struct, in which nulls are equal, so aggregate, join and window share one partitioning. bounds is a
+    table that has the order's range too but is cheaper to read.
+    """
+    ends = (df if bounds is None else bounds).agg(F.struct(F.min(order).cast("bigint").alias("low"), F.max(order).cast("bigint").alias("high"))).scalar()
     part = (ends["high"].cast("double") - ends["low"].cast("double") + 1) / SLICES
-    cut = df.withColumn("__slice", F.floor((F.col(order).cast("double") - ends["low"].cast("double")) / part).cast("int"))
-    each = cut.groupBy(*keys, "__slice").agg(summary.alias("__sum"))
-    far = each.select(*[F.col(k).alias(f"__key_{i}") for i, k in enumerate(keys)], F.col("__slice").alias("__at"), along("__sum", Window.partitionBy(*keys).orderBy("__slice")).alias("__far"))
-    same = F.col("__slice") == F.col("__at")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"__key_{i}"))
-    return cut.join(far, same, "left").drop("__at", *[f"__key_{i}" for i in range(len(keys))])
+    cut = df.withColumn("__key", F.struct(*keys)).withColumn("__slice", F.floor((F.col(order).cast("double") - ends["low"].cast("double")) / part).cast("int"))
+    each = cut.groupBy("__key", "__slice").agg(summary.alias("__sum"))
+    far = each.select("__key", "__slice", along("__sum", Window.partitionBy("__key").orderBy("__slice")).alias("__far"))
+    return cut.join(far, ["__key", "__slice"], "left")
 
 
 def max_before(df: DataFrame, keys: tuple[str, ...], order: str, value: str, name: str) -> DataFrame:
     """Add the greatest value of the rows of a key before each row."""
     before = Window.unboundedPreceding, -1
     far = _across(df, keys, order, F.max(value), lambda c, w: F.max(c).over(w.rowsBetween(*before)))
-    near = F.max(value).over(Window.partitionBy(*keys, "__slice").orderBy(order).rowsBetween(*before))
-    return far.withColumn(name, F.greatest(near, "__far")).drop("__far", "__slice")
+    near = F.max(value).over(Window.partitionBy("__key", "__slice").orderBy(order).rowsBetween(*before))
+    return far.withColumn(name, F.greatest(near, "__far")).drop("__far", "__slice", "__key")
 
 
-def next_of(df: DataFrame, keys: tuple[str, ...], order: str, value: str, name: str) -> DataFrame:
+def next_of(df: DataFrame, keys: tuple[str, ...], order: str, value: str, name: str, bounds: DataFrame | None = None) -> DataFrame:
     """Add the value of the next row of a key; null behind the last."""
-    far = _across(df, keys, order, F.min_by(value, order), lambda c, w: F.lead(c).over(w))
-    near = F.lead(value).over(Window.partitionBy(*keys, "__slice").orderBy(order))
-    return far.withColumn(name, F.coalesce(near, "__far")).drop("__far", "__slice")
+    far = _across(df, keys, order, F.min_by(value, order), lambda c, w: F.lead(c).over(w), bounds)
+    near = F.lead(value).over(Window.partitionBy("__key", "__slice").orderBy(order))
+    return far.withColumn(name, F.coalesce(near, "__far")).drop("__far", "__slice", "__key")
