@@ -335,17 +335,22 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", k: in
 def drop_near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows whose document stays: the least id of each component, and all rows with a null id.
 
-    All columns are kept. Of rows that share an id one stays, that of the least text.
+    All columns are kept. Rows that share an id are linked with other ids, and go, together. If their id stays, so does
+    one row of each group of near-duplicates among them, that of the least text hash: texts that aren't alike all stay.
     """
     spark = df.sparkSession
-    found = Work(spark, "minhash-drop").table(near_duplicates(df, id, text, k, percent), "found")
+    work = Work(spark, "minhash-drop")
+    found = work.table(near_duplicates(df, id, text, k, percent), "found")
     gone = found.where(~F.col("kept")).select(at(id)).distinct()
     left = join_ids(df, gone, id, "left_anti", gone.count())
-    if found.where(at(id).isNotNull()).groupBy(at(id)).count().where("count > 1").limit(1).count():
-        from pyspark.sql import Window
-
-        order = Window.partitionBy(at(id)).orderBy(F.xxhash64(at(text)), at(text))
-        rank = unused(df, "rank")
-        first = left.where(at(id).isNotNull()).withColumn(rank, F.row_number().over(order)).where(at(rank) == 1).drop(rank)
-        left = left.where(at(id).isNull()).unionByName(first)
-    return left
+    many = found.where(F.col("kept") & at(id).isNotNull()).groupBy(at(id)).agg(F.count("*").alias("__n")).where("__n > 1").select(at(id))
+    many = work.table(many, "repeated")
+    if not (n := many.count()):
+        return left
+    pair = unused(df, "pair")
+    each = F.struct(at(id).alias("id"), F.xxhash64(at(text)).alias("h1"), F.xxhash64(F.lit(1), at(text)).alias("h2"))
+    again = work.table(join_ids(left, many, id, "left_semi", n).withColumn(pair, each).dropDuplicates([pair]), "again")
+    near = near_duplicates(again, pair, text, k, percent).where(~F.col("kept")).select(at(pair))
+    near = work.table(near, "near")
+    stay = join_ids(again, near, pair, "left_anti", near.count()).drop(pair)
+    return join_ids(left, many, id, "left_anti", n).unionByName(stay)

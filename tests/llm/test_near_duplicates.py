@@ -101,6 +101,16 @@ def test_null_and_repeated_ids(spark):
     assert minhash.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_unlike_texts_of_one_id_stay(spark):
+    r = rng(10)
+    a, b, c, d = (prose(r, 90, 10**6) for _ in range(4))
+    rows = [(1, a), (1, b), (1, edited(r, b, 1)), (1, a), (1, None), (1, ""), (2, a), (2, c), (3, d), (3, d), (4, edited(r, d, 1)), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("pair", F.lit(1))
+    got = [(x.doc_id, x.text) for x in minhash.drop_near_duplicates(df).collect()]
+    assert len(got) == 6 and set(got) - {(1, rows[2][1])} <= {(1, a), (1, b), (1, None), (1, ""), (3, d), (None, a)}
+    assert sum(t in (b, rows[2][1]) for _, t in got) == 1 and minhash.drop_near_duplicates(df.limit(0)).collect() == []
+
+
 def test_connected_components(spark):
     r = rng(4)
     chain = [(i, i + 1) for i in range(100, 140)]
