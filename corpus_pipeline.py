@@ -39,8 +39,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: five-word shingles, similarity of 0.8 or more.
 
-    That of the least id stays. Rows that share an id are one document, of which one row stays. Documents without words,
-    and all rows with a null id, stay.
+    That of the least id stays. Rows that share an id are linked with others, and go, together; if their id stays, so
+    does one row of each group of near-duplicates among them. Documents without words, and all rows with a null id, stay.
     """
     return minhash.drop_near_duplicates(docs, k=5, percent=80).select(*COLUMNS)
 
