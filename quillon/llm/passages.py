@@ -3,9 +3,9 @@
 Any run of PASSAGE words that stands more than once is found, exactly. A window of words a place would be many times
 the text, so a window's anchor is looked at first: the least of its ANCHOR-word hashes, a choice by content alone, so
 equal windows have equal anchors. Consecutive windows with one anchor are a block. Windows whose anchor stands in one
-block only are unique; where all blocks of an anchor are equal, whole blocks are compared; only where they differ are
-their windows grouped one by one, by 128-bit hashes. Every occurrence but the first covers its words, and covered words
-are removed.
+block only are unique. Blocks that come again are compared whole, and each but the first covers its words; only where an
+anchor has blocks that differ are the windows of the first of each grouped one by one, by 128-bit hashes. Every
+occurrence but the first covers its words, and covered words are removed.
 """
 
 from __future__ import annotations
@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work, at, columns_but, map_batches, packed, process_cache, spread_join, unpacked, unused
+from .common import BROADCAST_IDS, Work, at, columns_but, map_batches, packed, pinned, process_cache, spread_join, unpacked, unused
 from .line_dedup import BROADCAST_POSITIONS, _row_key
-from .shingles import mix, windows, word_hashes
+from .shingles import mix, word_hashes
 
 #: Words of a passage and of an anchor.
 PASSAGE, ANCHOR = 50, 16
+#: Rows of one batch that a worker gives back, or those of one text.
+_FLUSH = 1 << 18
 _FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD95)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -39,6 +41,12 @@ def _stretches(h: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) ->
     return mix((sums[end] - sums[start]) * back[start])
 
 
+def _runs(h: np.ndarray, size: int) -> np.ndarray:
+    """The hash of the words of every run of a size."""
+    at = np.arange(len(h) - size + 1)
+    return _stretches(h, at, at + size, 0)
+
+
 def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers of a factor from 0 to n at least, and of its inverse, kept in a worker."""
     cache = process_cache()
@@ -51,10 +59,10 @@ def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(h: np.ndarray, passage: int, anchor: int, g: np.ndarray | None = None) -> np.ndarray:
-    """The anchor of every window of a passage's words; g: the hashes of all anchors, if they are there."""
+    """The anchor of every window of a passage's words; g: the hashes of all runs that may be anchors, if they are there."""
     if len(h) < passage:
         return np.zeros(0, np.uint64)
-    g, runs = windows(h, anchor) if g is None else g, passage - anchor + 1
+    g, runs = _runs(h, anchor) if g is None else g, passage - anchor + 1
     low, width = g, 1
     while 2 * width <= runs:  # windows of one, two, four ... places
         low, width = np.minimum(low[:-width], low[width:]), 2 * width
@@ -63,7 +71,7 @@ def anchors(h: np.ndarray, passage: int, anchor: int, g: np.ndarray | None = Non
 
 def blocks(h: np.ndarray, passage: int, anchor: int) -> tuple[np.ndarray, ...]:
     """(anchor, hash of the words, odd, first window, windows) of every block; odd: windows of it may be equal."""
-    g = windows(h, anchor) if len(h) >= passage else h
+    g = _runs(h, anchor) if len(h) >= passage else h
     low = anchors(h, passage, anchor, g)
     at = np.flatnonzero(np.concatenate([np.ones(min(1, len(low)), bool), low[1:] != low[:-1]]))
     n = np.diff(np.append(at, len(low)))
@@ -77,36 +85,44 @@ def blocks(h: np.ndarray, passage: int, anchor: int) -> tuple[np.ndarray, ...]:
     return own, _stretches(h, at, at + n - 1 + passage, 0), np.isin(own, g[place[1:][near]]), at, n
 
 
-def _rows(names: tuple[str, ...], batch: pa.RecordBatch, i: int, columns: list[pa.Array]) -> pa.RecordBatch:
-    one = [pa.repeat(batch.column(c)[i], len(columns[0])) for c in ("id", "__k1")]
-    return pa.RecordBatch.from_arrays([*columns, *one], names=[*names, "id", "__k1"])
+def _rows(batch: pa.RecordBatch, names: tuple[str, ...], places) -> Iterator[pa.RecordBatch]:
+    """One row for each place found in each text, with what names the text; places gives arrays for a text's number."""
+    begun, size, found = 0, 0, []
+    for i in range(batch.num_rows):
+        found.append(places(i))
+        size += len(found[-1][0])
+        if size >= _FLUSH or i + 1 == batch.num_rows:
+            columns = [pa.array(np.concatenate(c)) for c in zip(*found, strict=True)]
+            texts = pa.array(np.repeat(np.arange(begun, i + 1), [len(f[0]) for f in found]))
+            yield pa.RecordBatch.from_arrays([*columns, *(batch.column(c).take(texts) for c in ("id", "__k1"))], names=[*names, "id", "__k1"])
+            begun, size, found = i + 1, 0, []
 
 
 def _block_rows(passage: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for i in range(b.num_rows):
+
+            def places(i: int, b=b) -> tuple[np.ndarray, ...]:
                 g, whole, odd, at, n = blocks(_hashes(b.column("t")[i].as_py()), passage, anchor)
-                if len(g):
-                    out.append(_rows(("g", "whole", "odd", "pos", "n"), b, i, [pa.array(g.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(odd), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))]))
-            if out:
-                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+                return g.view(np.int64), whole.view(np.int64), odd, at.astype(np.int32), n.astype(np.int32)
+
+            yield from _rows(b, ("g", "whole", "odd", "pos", "n"), places)
 
     return run
 
 
-def _window_rows(passage: int, anchor: int):
+def _window_rows(passage: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for i in range(b.num_rows):
+
+            def places(i: int, b=b) -> tuple[np.ndarray, ...]:
+                held = np.array(b.column("__at")[i].as_py(), np.int64)
+                first, n = held >> 32, held & 0xFFFFFFFF
+                at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
                 h = _hashes(b.column("t")[i].as_py())
-                at = np.flatnonzero(np.isin(anchors(h, passage, anchor), np.array(b.column("__at")[i].as_py(), np.int64).view(np.uint64)))
-                both = [pa.array(_stretches(h, at, at + passage, w).view(np.int64)) for w in (0, 1)]
-                out.append(_rows(("h1", "h2", "pos"), b, i, [*both, pa.array(at.astype(np.int32))]))
-            if out:
-                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+                return *(_stretches(h, at, at + passage, w).view(np.int64) for w in (0, 1)), at.astype(np.int32)
+
+            yield from _rows(b, ("h1", "h2", "pos"), places)
 
     return run
 
@@ -129,6 +145,16 @@ def _cut(text: str, covered: list[int], passage: int) -> tuple[str, int]:
     return "".join(out) + text[end:], len(gone)
 
 
+def _merged(spans: DataFrame, passage: int) -> DataFrame:
+    """Spans of a text in order, none of which share a window, as few as cover the same words."""
+    first = lambda i: F.shiftright(F.get("s", i), 32)
+    end = lambda i: first(i) + F.get("s", i).bitwiseAND(F.lit(0xFFFFFFFF))
+    begins = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (first(i) > end(i - 1) - 1 + passage))
+    d = pinned(spans, "id", "__k1", "s", begins.alias("b"))
+    last = lambda k: F.coalesce(F.get("b", k + 1), F.size("s")) - 1
+    return d.select("id", "__k1", F.transform("b", lambda i, k: F.shiftleft(first(i), 32) + end(last(k)) - first(i)).alias("__pos"))
+
+
 def dedup_passages(df: DataFrame, id: str = "doc_id", text: str = "text", passage: int = PASSAGE, anchor: int = ANCHOR) -> DataFrame:
     """The rows with repeated passages removed from text; adds n_words and n_cut (bigint).
 
@@ -145,27 +171,33 @@ def dedup_passages(df: DataFrame, id: str = "doc_id", text: str = "text", passag
     work = Work(df.sparkSession, "passages")
     kind = df.schema[id].dataType.simpleString()
     keyed = df.select(at(id).alias("id"), _row_key(id, text)[0], at(text).alias("t"))
-    place = F.struct("id", "__k1", "pos")
+    place, span = F.struct("id", "__k1", "pos"), lambda n: F.shiftleft(F.col("pos").cast("bigint"), 32) + n
     found = work.table(keyed.mapInArrow(_block_rows(passage, anchor), f"g long, whole long, odd boolean, pos int, n int, id {kind}, __k1 long"), "blocks")
-    twice = found.groupBy("g").agg(F.count("*").alias("times"), (F.max("odd") | (F.min("whole") != F.max("whole"))).alias("mixed"), F.min(place).alias("first")).where("times > 1 OR mixed")
-    held = spread_join(found, twice, "g", "inner").where(F.col("mixed") | ~place.eqNullSafe(F.col("first")))
-    held = work.table(held.select("g", "mixed", "id", "__k1", "pos", "n"), "held")
+    # Sums of plain numbers first, which are hashed and not sorted; firsts are sought where an anchor comes again only.
+    twice = found.groupBy("g").agg(F.count("*").alias("times"), (F.max("odd") | (F.min("whole") != F.max("whole"))).alias("mixed"))
+    twice = work.table(twice.where("times > 1 OR mixed").select("g", "mixed"), "twice")
+    few = twice.count() <= BROADCAST_IDS
+    held = found.join(F.broadcast(twice), "g") if few else spread_join(found, twice, "g", "inner")
+    held = work.table(held.select("g", "whole", "mixed", "id", "__k1", "pos", "n"), "held")
     work.drop("blocks")
+    equal = held.groupBy("g", "whole").agg(F.min(place).alias("first")).select("whole", F.col("g").alias("__g"), "first")
+    held = spread_join(held, equal, "whole", "inner").where(F.col("g") == F.col("__g"))
+    again = ~place.eqNullSafe(F.col("first"))
+    held = work.table(held.where(again | F.col("mixed")).select(again.alias("again"), "id", "__k1", span(F.col("n")).alias("span")), "places")
 
     def joined(left: DataFrame, key: str, right: DataFrame, column: str, how: str) -> DataFrame:
         total = right.agg(F.coalesce(F.sum(F.size(column) + 4), F.lit(0))).first()[0]
         right = right.select(F.col("id").alias("__id"), F.col("__k1").alias("__k"), column)
         return left.join(F.broadcast(right) if total <= BROADCAST_POSITIONS else right, (F.col("__k1") == F.col("__k")) & F.col(key).eqNullSafe(F.col("__id")), how)
 
-    some = work.table(held.where("mixed").groupBy("id", "__k1").agg(F.collect_set("g").alias("__at")), "mixed")
+    some = work.table(held.where("NOT again").groupBy("id", "__k1").agg(F.collect_set("span").alias("__at")), "mixed")
     some = joined(keyed, "id", some, "__at", "inner").select("id", "__k1", "t", "__at")
-    rows = work.table(some.mapInArrow(_window_rows(passage, anchor), f"h1 long, h2 long, pos int, id {kind}, __k1 long"), "windows")
+    rows = work.table(some.mapInArrow(_window_rows(passage), f"h1 long, h2 long, pos int, id {kind}, __k1 long"), "windows")
     repeats = rows.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1").select("h1", F.col("h2").alias("__h2"), "first")
     later = spread_join(rows, repeats, "h1", "inner").where((F.col("h2") == F.col("__h2")) & ~place.eqNullSafe(F.col("first")))
-    spans = held.where("NOT mixed").select("id", "__k1", "pos", "n").unionByName(later.select("id", "__k1", "pos", F.lit(1).alias("n")))
-    span = F.shiftleft(F.col("pos").cast("bigint"), 32) + F.col("n")
-    covered = work.table(spans.groupBy("id", "__k1").agg(F.collect_set(span).alias("__pos")), "covered")
-    for name in ("held", "mixed", "windows"):
+    spans = held.where("again").select("id", "__k1", "span").unionByName(later.select("id", "__k1", span(F.lit(1)).alias("span")))
+    covered = work.table(_merged(spans.groupBy("id", "__k1").agg(F.sort_array(F.collect_set("span")).alias("s")), passage), "covered")
+    for name in ("twice", "held", "places", "mixed", "windows"):
         work.drop(name)
 
     kept = columns_but(df, ("n_words", "n_cut"))

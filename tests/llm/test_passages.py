@@ -33,6 +33,8 @@ def slow(rows, size):
 @pytest.mark.parametrize("size,anchor,limit", [(50, 16, 2_000_000), (6, 2, 0), (5, 5, 2_000_000)])
 def test_passages_against_brute_force(spark, monkeypatch, size, anchor, limit):
     monkeypatch.setattr(passages, "BROADCAST_POSITIONS", limit)
+    monkeypatch.setattr(passages, "BROADCAST_IDS", limit)
+    monkeypatch.setattr(passages, "_FLUSH", max(1, limit // 100_000))
     r = rng(21)
     base = prose(r, 4 * size, 5000)
     ws = base.split(" ")
