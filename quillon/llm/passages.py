@@ -77,12 +77,12 @@ def blocks(h: np.ndarray, passage: int, anchor: int) -> tuple[np.ndarray, ...]:
     n = np.diff(np.append(at, len(low)))
     if not len(at):
         return low, low, np.zeros(0, bool), at, n
-    # Two places of an anchor in one block lie in a run, or the windows between would have another.
-    own = low[at]
-    place = np.flatnonzero(np.isin(g, own))
-    place = place[np.argsort(g[place], kind="stable")]
-    near = (g[place[1:]] == g[place[:-1]]) & (np.diff(place) <= passage - anchor + 1)
-    return own, _stretches(h, at, at + n - 1 + passage, 0), np.isin(own, g[place[1:][near]]), at, n
+    # Equal windows of one block have its anchor at two places of the runs that the block spans.
+    own, spans = low[at], n + passage - anchor
+    ends = np.cumsum(spans)
+    runs = np.repeat(at - ends + spans, spans) + np.arange(ends[-1])
+    times = np.add.reduceat(g[runs] == np.repeat(own, spans), ends - spans, dtype=np.int32)
+    return own, _stretches(h, at, at + n - 1 + passage, 0), times > 1, at, n
 
 
 def _rows(batch: pa.RecordBatch, names: tuple[str, ...], places) -> Iterator[pa.RecordBatch]:
