@@ -14,7 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import show_datom
@@ -25,6 +25,8 @@ from .query import Pattern, Query, Var
 _PARTS = ("k", "s", "n", "b", "key")
 #: Parts of a product of bindings, in which a variable is unbound, with all that it may be.
 SALTS = 16
+#: Rows of a key on each side that one part of a dealt join pairs, where both sides have that many.
+SIDE = 512
 
 
 @dataclass(frozen=True)
@@ -113,14 +115,31 @@ def _scan(source: TripleSource, pattern: Pattern) -> DataFrame:
 
 
 class _State:
-    """Bindings and what is known of each variable: whether it may be unbound."""
+    """Bindings and what is known of each variable: whether it may be unbound.
 
-    def __init__(self, df: DataFrame | None, maybe: dict[str, bool]):
-        self.df, self.maybe = df, maybe
+    keys: sets of variables whose values no two rows share where they are bound. many: whether a join has paired many
+    rows with many.
+    """
+
+    def __init__(self, df: DataFrame | None, maybe: dict[str, bool], keys: tuple[frozenset[str], ...] = (), many: bool = False):
+        self.df, self.maybe, self.keys, self.many = df, maybe, keys, many
+
+    def with_df(self, df: DataFrame) -> _State:
+        return _State(df, self.maybe, self.keys, self.many)
+
+
+def _no_bindings(spark: SparkSession) -> _State:
+    """The one row that every pattern may extend."""
+    return _State(spark.range(1).select(), {}, (frozenset(),))
 
 
-def _join(state: _State, right: DataFrame, names: list[str], how: str, modes: Modes) -> _State:
-    """Join bindings with those of a pattern or group, which are always bound.
+def _keys(source: TripleSource, pattern: Pattern) -> tuple[frozenset[str], ...]:
+    """The variables of a scan's entity and attribute, which have one value at most if the source is single."""
+    return (frozenset(x.name for x in (pattern.entity, pattern.attribute) if isinstance(x, Var)),) if source.single else ()
+
+
+def _join(state: _State, right: DataFrame, names: list[str], how: str, modes: Modes, keys: tuple[frozenset[str], ...] = ()) -> _State:
+    """Join bindings with those of a pattern or group, which are always bound; keys: those of the pattern's rows.
 
     A shared variable that may be unbound is free where it is: such bindings are joined apart from the others, on the
     variables that they have, so that every join has keys. There are at most as many parts as subsets of a pattern's
@@ -128,20 +147,26 @@ def _join(state: _State, right: DataFrame, names: list[str], how: str, modes: Mo
     """
     if state.df is None:
         if how == "inner":
-            return _State(right, dict.fromkeys(names, False))
-        state = _State(right.sparkSession.range(1).select(), {})
+            return _State(right, dict.fromkeys(names, False), keys)
+        state = _no_bindings(right.sparkSession)
     shared = [v for v in names if v in state.maybe]
     cols = {(v, p): f"r_{v}__{p}" for v in names for p in _PARTS}
     right = right.select(*[F.col(_name(v, p)).alias(cols[v, p]) for v, p in cols])
     loose = [v for v in shared if state.maybe[v]]
-    df = None
+    df, one_each, many = None, True, state.many
     for free in product((False, True), repeat=len(loose)):
         unbound = [v for v, is_free in zip(loose, free, strict=True) if is_free]
         part = state.df
         for v in loose:
             kind = F.col(_name(v, "k"))
             part = part.where(kind.isNull() if v in unbound else kind.isNotNull())
-        made = _join_bound(part, right, [v for v in shared if v not in unbound], how, modes, cols)
+        bound = [v for v in shared if v not in unbound]
+        on = set(bound[:1] if modes.epsilon_joins else bound)
+        one = any(k <= on for k in keys)
+        several = how != "left_anti" and not one and not any(k <= on for k in state.keys)
+        one_each, many = one_each and one, many or several
+        # What such a join has made is large, so that Spark splits its hot keys itself; counting would make it twice.
+        made = _join_bound(part, right, bound, how, modes, cols, several and not state.many)
         if how != "left_anti":
             out = []
             for v in dict.fromkeys([*state.maybe, *names]):
@@ -152,34 +177,80 @@ def _join(state: _State, right: DataFrame, names: list[str], how: str, modes: Mo
     maybe = dict(state.maybe)
     for v in names if how != "left_anti" else ():
         maybe[v] = False if how == "inner" else maybe.get(v, True)
-    return _State(df, maybe)
+    if how != "left_anti" and not one_each:
+        return _State(df, maybe, () if loose or many else keys, many)
+    return _State(df, maybe, state.keys, many)
 
 
-def _join_bound(left: DataFrame, right: DataFrame, shared: list[str], how: str, modes: Modes, cols: dict[tuple[str, str], str]) -> DataFrame:
+def _join_bound(left: DataFrame, right: DataFrame, shared: list[str], how: str, modes: Modes, cols: dict[tuple[str, str], str], many: bool) -> DataFrame:
     """Join on variables that are bound on both sides. Without any, an inner join is the product that the query asks
-    for, and outer ones, which only unbound variables lead to, are dealt out by salted keys."""
+    for, and outer ones, which only unbound variables lead to, are dealt out by salted keys. many: a key may have many
+    rows on both sides."""
     if not shared:
         if how == "left_anti":
             return left.join(right.limit(1).select(F.lit(True).alias("r__any")), F.lit(True), "left_anti")
         return left.crossJoin(right) if how == "inner" else _salted_product(left, right, how)
+    equal: list[tuple[Column, Column]] = []
     on: list[Column] = []
     if modes.epsilon_joins:
         right = right.withColumn("r__near", F.explode(_near(cols[shared[0], "k"], cols[shared[0], "n"])))
     for i, v in enumerate(shared):
         mine, theirs = F.col(_name(v, "key")), F.col(cols[v, "key"])
-        same = mine == theirs
         if modes.epsilon_joins:
-            close = (F.abs(F.col(_name(v, "n")) - F.col(cols[v, "n"])) < EPSILON) & (F.col(_name(v, "k")) == "num") & (F.col(cols[v, "k"]) == "num")
+            number = (F.col(_name(v, "k")) == "num") & (F.col(cols[v, "k"]) == "num")
+            close = (F.abs(F.col(_name(v, "n")) - F.col(cols[v, "n"])) < EPSILON) & number
             if i == 0:
-                number = (F.col(_name(v, "k")) == "num") & (F.col(cols[v, "k"]) == "num")
-                same = (_bucket(_name(v, "k"), _name(v, "n"), _name(v, "key")) == F.coalesce(F.col("r__near"), theirs)) & F.coalesce(F.when(number, close), F.lit(True))
+                equal.append((_bucket(_name(v, "k"), _name(v, "n"), _name(v, "key")), F.coalesce(F.col("r__near"), theirs)))
+                on.append(F.coalesce(F.when(number, close), F.lit(True)))
             else:
-                same = same | close
+                on.append((mine == theirs) | close)
+        else:
+            equal.append((mine, theirs))
         if modes.strict_refs:
             # A reference met first stands for the value only; an entity met first matches references too.
-            same = same & ~((F.col(_name(v, "k")) == "ref") & (F.col(cols[v, "k"]) == "entity"))
-        on.append(same)
-    return left.join(right, _all(on), how)
+            on.append(~((F.col(_name(v, "k")) == "ref") & (F.col(cols[v, "k"]) == "entity")))
+    if many:
+        left, right = _dealt(left, right, equal, how)
+        equal = [(F.col("l__part"), F.col("r__part"))]
+    return left.join(right, _all([mine == theirs for mine, theirs in equal] + on), how)
+
+
+def _dealt(left: DataFrame, right: DataFrame, equal: list[tuple[Column, Column]], how: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of an equi-join with l__part and r__part, the parts of a key in which a row meets its partners.
+
+    A few short rows of one key can have products without number, which no task should make alone and which Spark, going
+    by bytes, doesn't split. So the rows of each key are counted on both sides. Of a key with more than SIDE * SIDE
+    products the left's rows are dealt across parts and copied down, the right's are dealt down and copied across; a pair
+    meets in one part. A part makes about SIDE * SIDE products, and copies are two in SIDE products at most. Below an
+    outer join the right isn't dealt, so that a row of the left meets all of its partners.
+
+    Given a number of partitions, Spark keeps all of them, however short. Sorted rows of a part are paired faster than
+    hashed ones.
+    """
+    names = [f"h__at{i}" for i in range(len(equal))]
+
+    def counts(rows: DataFrame, side: int, name: str) -> DataFrame:
+        return rows.groupBy(*[pair[side].alias(n) for pair, n in zip(equal, names, strict=True)]).agg(F.count("*").cast("double").alias(name))
+
+    most, mine, theirs = F.lit(float(SIDE)), F.col("h__mine"), F.col("h__theirs")
+    heavy = counts(left, 0, "h__mine").join(counts(right, 1, "h__theirs"), names).where(mine * theirs > most * most)
+    across = F.ceil(mine / F.greatest(most, most * most / theirs))
+    down = F.ceil(theirs / F.greatest(most, most * most / mine)) if how == "inner" else F.lit(1).cast("bigint")
+    heavy = heavy.select(*names, across.alias("h__across"), down.alias("h__down"))
+
+    def parts(rows: DataFrame, side: int, dealt: str, copied: str) -> DataFrame:
+        row = F.xxhash64(*[c for c in rows.columns if c.endswith("__key")])
+        found = rows.join(heavy, _all([pair[side] == F.col(n) for pair, n in zip(equal, names, strict=True)]), "left")
+        number = {x: F.coalesce(F.col(f"h__{x}"), F.lit(1)) for x in (dealt, copied)}
+        found = found.withColumn(f"h__in_{dealt}", F.pmod(row, number[dealt]))
+        found = found.withColumn(f"h__in_{copied}", F.explode(F.sequence(F.lit(0).cast("bigint"), number[copied] - 1)))
+        # One text, of which no part is a constant that Spark would take out of the join; null if a key is.
+        keys = [x for pair in equal for x in (F.lit(":"), F.length(pair[side]), F.lit(":"), pair[side])]
+        part = F.concat("h__in_across", F.lit(":"), "h__in_down", *keys)
+        return found.select(*rows.columns, part.alias(f"{'lr'[side]}__part"))
+
+    partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return parts(left, 0, "across", "down").repartition(partitions, "l__part"), parts(right, 1, "down", "across").hint("merge")
 
 
 def _salted_product(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
@@ -284,33 +355,35 @@ def solve(source: TripleSource, query: Query, modes: Modes = Modes()) -> _State:
                 optional = [p for p in optional if p not in may]
                 fused |= {p.value.name: True for p in may}
     state = _State(None, {})
-    pending = [(df, names) for df, names, _ in steps]
+    pending = [(df, names, (frozenset(names[:1]),)) for df, names, _ in steps]
     if modes.strict_refs:
         singles = where
     else:
         singles = order_patterns(where)
-    pending += [(_bind(_scan(source, p), p), p.variables) for p in singles]
+    pending += [(_bind(_scan(source, p), p), p.variables, _keys(source, p)) for p in singles]
     if modes.strict_refs:
         order = pending
     else:
         order, seen = [], set()
         while pending:
-            at = next((i for i, (_, names) in enumerate(pending) if not order or seen & set(names)), 0)
+            at = next((i for i, (_, names, _) in enumerate(pending) if not order or seen & set(names)), 0)
             order.append(pending.pop(at))
             seen |= set(order[-1][1])
-    for df, names in order:
+    for df, names, keys in order:
         if not names:  # a ground pattern: a gate, or a multiplier where an attribute may have several values
             if state.df is None:
-                state = _State(df.sparkSession.range(1).select(), {})
-            state = _State(state.df.join(df.limit(1) if source.single else df, F.lit(True), "left_semi" if source.single else "inner"), state.maybe)
+                state = _no_bindings(df.sparkSession)
+            state = state.with_df(state.df.join(df.limit(1) if source.single else df, F.lit(True), "left_semi" if source.single else "inner"))
+            if not source.single:
+                state.keys = ()
             continue
-        state = _join(state, df, names, "inner", modes)
+        state = _join(state, df, names, "inner", modes, keys)
     for v in fused:
         state.maybe[v] = True
     for p in optional:
         if not p.variables:
             continue
-        state = _join(state, _bind(_scan(source, p), p), p.variables, "left", modes)
+        state = _join(state, _bind(_scan(source, p), p), p.variables, "left", modes, _keys(source, p))
     for group in query.where_not:
         if len(group) == 1:
             inner, names = _bind(_scan(source, group[0]), group[0]), group[0].variables
@@ -318,9 +391,9 @@ def solve(source: TripleSource, query: Query, modes: Modes = Modes()) -> _State:
             sub = solve(source, Query([], where=list(group)), modes)
             inner, names = sub.df, list(sub.maybe)
         if state.df is None:
-            state = _State(inner.sparkSession.range(1).select(), {})
+            state = _no_bindings(inner.sparkSession)
         if not names:
-            state = _State(state.df.join(inner.limit(1).select(F.lit(True).alias("r__any")), F.lit(True), "left_anti"), state.maybe)
+            state = state.with_df(state.df.join(inner.limit(1).select(F.lit(True).alias("r__any")), F.lit(True), "left_anti"))
         else:
             state = _join(state, inner, names, "left_anti", modes)
     for var, test in query.filters:
@@ -328,7 +401,7 @@ def solve(source: TripleSource, query: Query, modes: Modes = Modes()) -> _State:
             bound = Binding(*[F.col(_name(var, p)) for p in ("k", "s", "n", "b")])
         else:
             bound = Binding(*[F.lit(None).cast(t) for t in ("string", "string", "double", "boolean")])
-        state = _State(state.df.where(F.coalesce(test(bound), F.lit(False))), state.maybe)
+        state = state.with_df(state.df.where(F.coalesce(test(bound), F.lit(False))))
     return state
 
 
