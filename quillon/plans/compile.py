@@ -165,7 +165,7 @@ def _join(state: _State, right: DataFrame, names: list[str], how: str, modes: Mo
         one = any(k <= on for k in keys)
         several = how != "left_anti" and not one and not any(k <= on for k in state.keys)
         one_each, many = one_each and one, many or several
-        # What such a join has made is large, so that Spark splits its hot keys itself; counting would make it twice.
+        # A second such join is left to Spark, which splits what is long in bytes; counting would make the first one twice.
         made = _join_bound(part, right, bound, how, modes, cols, several and not state.many)
         if how != "left_anti":
             out = []
